@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .quality import quality_rules
+from .sharding import shard_documents
 from .store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +24,18 @@ def query(f):
 @query
 def op1_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_sharding(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mixing(spark, sf_dir):
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
