@@ -124,7 +124,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(keyed.join(shared, "key").select("key", "pivot", "c", "rep"), "members")
     wanted = members.select("rep").distinct()
     sets = written(
-        src.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        src.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
         .mapInArrow(_full_sets, "id long, n long, s array<long>")
         .groupBy("id").agg(F.max(F.struct("n", "s")).alias("x")).select("id", "x.n", "x.s"),
         "sets",
