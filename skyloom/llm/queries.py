@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import extract_pages
+from .language import identify_languages
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .quality import quality_rules
 from .sharding import shard_documents
 from .store import table
+from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,3 +42,18 @@ def op10_mixing(spark, sf_dir):
 @query
 def op8_quality(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_html_text(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_language(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
