@@ -68,7 +68,7 @@ def blocks(offs: np.ndarray, size: int = 2 * BLOCK) -> Iterator[tuple[int, int]]
         a = min(b, n)
 
 
-def _words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray, fold: np.ndarray):
+def _words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray, fold: np.ndarray, limit: int = 0):
     n = len(data)
     gap = sep[data]
     border = np.zeros(n + 1, bool)
@@ -89,14 +89,18 @@ def _words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray, fold: np.ndarray
     place[gap] = 0
     weight = _BYTE[fold[data]]
     weight[gap] = 0
+    size = end - start
+    if limit:
+        weight[place >= limit] = 0
+        size = np.minimum(size, limit)
     with np.errstate(over="ignore"):
         weight *= _powers(int(place.max()) + 1)[place]
-        hashed = mix(np.add.reduceat(weight, start) + (end - start).astype(np.uint64) * _STEPS[63])
+        hashed = mix(np.add.reduceat(weight, start) + size.astype(np.uint64) * _STEPS[63])
     return hashed, start, end
 
 
-def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.ndarray = LOWER):
-    """64-bit hashes of all words, their byte starts and ends, and each row's first word (n + 1 entries)."""
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.ndarray = LOWER, limit: int = 0):
+    """64-bit hashes of all words, their byte starts and ends, and each row's first word (n + 1 entries). limit: hash so many first bytes only."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offs), np.int64)
@@ -109,7 +113,7 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.
             if len(gaps):
                 break
         inside = offs[(offs > a) & (offs < b)] - a
-        h, s, e = _words(data[a:b], np.concatenate([[0], inside, [b - a]]), sep, fold)
+        h, s, e = _words(data[a:b], np.concatenate([[0], inside, [b - a]]), sep, fold, limit)
         parts.append((h, s + a, e + a))
         a = b
     h, s, e = (np.concatenate(x) for x in zip(*parts))

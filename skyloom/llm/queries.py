@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .language import identify_languages
 from .mixing import mix_documents
@@ -57,3 +58,8 @@ def op7_toxicity(spark, sf_dir):
 @query
 def op9_language(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

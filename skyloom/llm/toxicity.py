@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted in order. Each one's linear model (ridge logistic regression) sees which telling words
-a text has, a few rates, and the probabilities of all earlier categories. Later models are trained on
+and beginnings of words a text has, a few rates, and the probabilities of all earlier categories. Later models are trained on
 out-of-fold probabilities of the earlier ones, so they meet the same kind of numbers as in use.
 """
 
@@ -17,7 +17,9 @@ from . import kernels as K
 
 #: Labelled rows learned from, at most about.
 SAMPLE = 6000
-FOLDS, WORDS_EACH, RIDGE, LEAST_DF = 5, 200, 1.0, 5
+FOLDS, WORDS_EACH, LEAST_GAIN, RIDGE, LEAST_DF = 5, 300, 5.0, 1.0, 5
+#: Bytes of the beginnings that count as words besides the words themselves.
+BEGINNINGS = (6, 8)
 #: Categories in chain order: label column and the value that counts as positive.
 CHAIN = (("quality", 0), ("toxic", 1))
 _HIGH = K._B >= 128
@@ -26,22 +28,28 @@ _UPPER = (K._B >= 65) & (K._B <= 90)
 
 
 def _tokens(data: np.ndarray, offs: np.ndarray):
-    """Plain lower-cased words: hashes and each row's first; and some rates of each row."""
-    h, _, _, first = K.words(data, offs, K.NOT_ALNUM)
+    """Plain lower-cased words and their beginnings (hashes and rows), the number of words of each row, and some rates."""
+    h, start, end, first = K.words(data, offs, K.NOT_ALNUM)
+    row, n = K.rows_of(first), np.diff(first)
+    hs, rows = [h], [row]
+    for limit in BEGINNINGS:
+        longer = end - start > limit
+        hs.append(K.mix(K.words(data, offs, K.NOT_ALNUM, limit=limit)[0][longer] + np.uint64(limit)))
+        rows.append(row[longer])
 
     def rate(mask):
         c = np.concatenate([[0], np.cumsum(mask[data])])
         return (c[offs[1:]] - c[offs[:-1]]) / np.maximum(1, np.diff(offs))
 
-    return h, first, np.stack([np.log1p(np.diff(first)) / 5, rate(_SYMBOL) * 5, rate(_UPPER) * 2, rate(_HIGH) * 5], axis=1)
+    return np.concatenate(hs), np.concatenate(rows), n, np.stack([np.log1p(n) / 5, rate(_SYMBOL) * 5, rate(_UPPER) * 2, rate(_HIGH) * 5], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray | None = None, steps: int = 30) -> np.ndarray:
     """Weights, the intercept last, by Newton's method with halved steps."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     pen = np.full(z.shape[1], RIDGE)
     pen[-1] = 1e-6
-    b = np.zeros(z.shape[1])
+    b = np.zeros(z.shape[1]) if start is None else start.copy()
 
     def cost(b):
         f = z @ b
@@ -74,16 +82,15 @@ class Chain:
     models: list[np.ndarray]
     cutoffs: list[float]
 
-    def design(self, h: np.ndarray, first: np.ndarray, rates: np.ndarray) -> np.ndarray:
-        n = len(first) - 1
-        x = np.zeros((n, len(self.vocab)))
+    def design(self, h: np.ndarray, row: np.ndarray, rates: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rates), len(self.vocab)))
         if len(self.vocab) and len(h):
             maybe = np.zeros(1 << 16, bool)
             maybe[(self.vocab >> np.uint64(48)).astype(int)] = True
             at = np.flatnonzero(maybe[(h >> np.uint64(48)).astype(np.int64)])
             place = np.minimum(np.searchsorted(self.vocab, h[at]), len(self.vocab) - 1)
             hit = self.vocab[place] == h[at]
-            x[np.searchsorted(first, at[hit], "right") - 1, place[hit]] = 1
+            x[row[at[hit]], place[hit]] = 1
         return np.concatenate([x, rates], axis=1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -107,7 +114,7 @@ def _telling(h: np.ndarray, row: np.ndarray, y: np.ndarray, w: np.ndarray) -> np
 
     gain = np.where((df >= LEAST_DF) & (e < 1), kl(a, na) + kl(b, nb), -1)
     top = np.argsort(-gain, kind="stable")[:WORDS_EACH]
-    return words[top[gain[top] > 2]]
+    return words[top[gain[top] > LEAST_GAIN]]
 
 
 def _cutoff(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
@@ -131,13 +138,13 @@ def fit(rows: list[tuple[list[int], list[float], int, tuple[int, ...]]], names:
     fold = group % FOLDS  # copies stay in one fold
     vocab = np.unique(np.concatenate([_telling(h, row, ys[:, c], w) for c in range(len(names))]))
     chain = Chain(names, vocab, [], [])
-    x = chain.design(h, first, rates)
+    x = chain.design(h, row, rates)
     for c in range(len(names)):
         y, oof = ys[:, c], np.zeros(len(rows))
-        for k in range(FOLDS):
-            inside = fold != k
-            oof[~inside] = _prob(_logistic(x[inside], y[inside], w[inside]), x[~inside]) if inside.any() else 0
         chain.models.append(_logistic(x, y, w))
+        for k in range(FOLDS):  # each fold's optimum is unique; starting near it only saves steps
+            inside = fold != k
+            oof[~inside] = _prob(_logistic(x[inside], y[inside], w[inside], chain.models[-1]), x[~inside]) if inside.any() else 0
         chain.cutoffs.append(_cutoff(oof, y, w))
         x = np.concatenate([x, oof[:, None]], axis=1)
     return chain
@@ -146,9 +153,9 @@ def fit(rows: list[tuple[list[int], list[float], int, tuple[int, ...]]], names:
 def _sampled(batches):
     for batch in batches:
         for a, b, data, offs in K.strings(batch.column(0)):
-            h, first, rates = _tokens(data, offs)
-            u, begin = K.distinct(h, first)
-            sh, at = K.shingles(h, first)
+            h, row, n, rates = _tokens(data, offs)
+            u, begin = K.distinct(h[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]))
+            sh, at = K.shingles(h[: n.sum()], np.concatenate([[0], np.cumsum(n)]))
             least = [int(sh[i:j].min().view(np.int64)) if j > i else 0 for i, j in zip(at[:-1], at[1:])]
             words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(u.view(np.int64)))
             cols = [words, pa.array(rates.tolist(), pa.list_(pa.float64())), pa.array(least, pa.int64()), batch.column(1).slice(a, b - a)]
@@ -182,9 +189,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str
     def predict(batches):
         for batch in batches:
             for a, b, data, offs in K.strings(batch.column(0)):
-                h, first, rates = _tokens(data, offs)
-                p = model.predict(model.design(h, first, rates)) if model else np.zeros((b - a, len(names)))
-                toxic = (p[:, -1] > model.cutoffs[-1]) & (np.diff(first) > 0) if model else np.zeros(b - a, bool)
+                h, row, n, rates = _tokens(data, offs)
+                p = model.predict(model.design(h, row, rates)) if model else np.zeros((b - a, len(names)))
+                toxic = (p[:, -1] > model.cutoffs[-1]) & (n > 0) if model else np.zeros(b - a, bool)
                 cols = [c.slice(a, b - a) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(p[:, i]) for i in range(len(names))], pa.array(toxic)], [*batch.schema.names[1:], *names, "toxic"])
 
