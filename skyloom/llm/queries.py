@@ -11,6 +11,7 @@ from .html_text import extract_pages
 from .language import identify_languages
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .pii import find_personal_data
 from .quality import quality_rules
 from .sharding import shard_documents
 from .store import table
@@ -63,3 +64,8 @@ def op9_language(spark, sf_dir):
 @query
 def op6_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_personal_data(spark, sf_dir):
+    return find_personal_data(table(spark, sf_dir, "documents"))
