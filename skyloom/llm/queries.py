@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import link_quotations
 from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .language import identify_languages
@@ -69,3 +70,8 @@ def op6_decontaminate(spark, sf_dir):
 @query
 def op2_personal_data(spark, sf_dir):
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_chat(spark, sf_dir):
+    return link_quotations(table(spark, sf_dir, "conversations"))

@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain | None:
     return fit(rows, [c for c, _ in chain]) if rows else None
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, one probability p_<label> for each category, toxic) and the columns in `keep`, for each row.
+def score_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
+    """(doc_id, one probability p_<label> for each category, toxic) for each row; keep_row adds the whole row as struct `row`.
 
     toxic: the last category's probability is over its cutoff. A null text is empty; a text without words is
     never toxic. Labels that repeat for an id count as positive if any is. Without labels all probabilities
@@ -195,6 +195,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str
                 cols = [c.slice(a, b - a) for c in batch.columns[1:]]
                 yield pa.RecordBatch.from_arrays([*cols, *[pa.array(p[:, i]) for i in range(len(names))], pa.array(toxic)], [*batch.schema.names[1:], *names, "toxic"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text_"), F.col(id_col).cast("long").alias("doc_id"), *[c for c in keep if c != "doc_id"])
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *[F.struct("*").alias("row")] * keep_row)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     return rows.mapInArrow(predict, f"{schema}, {', '.join(f'{c} double' for c in names)}, toxic boolean")
