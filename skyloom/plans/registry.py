@@ -20,7 +20,3 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id AS iy", "posexplode(embedding) AS (ix, w)")
