@@ -128,10 +128,10 @@ def _cutoff(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((p[order][i] + below) / 2)
 
 
-def fit(rows: list[tuple[list[int], list[float], int, tuple[int, ...]]], names: list[str]) -> Chain:
-    """rows: distinct word hashes, rates, a key that near copies share, labels of all categories."""
-    first = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
-    h = np.concatenate([np.array(r[0], np.int64) for r in rows]).view(np.uint64)
+def fit(rows: list[tuple[bytes, list[float], int, tuple[int, ...]]], names: list[str]) -> Chain:
+    """rows: distinct word hashes (8 bytes each), rates, a key that near copies share, labels of all categories."""
+    first = np.concatenate([[0], np.cumsum([len(r[0]) // 8 for r in rows])])
+    h = np.frombuffer(b"".join(r[0] for r in rows), np.uint64)
     row, rates, ys = K.rows_of(first), np.array([r[1] for r in rows]), np.array([r[3] for r in rows], float)
     _, group, size = np.unique([r[2] for r in rows], return_inverse=True, return_counts=True)
     w = 1.0 / size[group]
@@ -157,7 +157,7 @@ def _sampled(batches):
             u, begin = K.distinct(h[np.argsort(row, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b - a))]))
             sh, at = K.shingles(h[: n.sum()], np.concatenate([[0], np.cumsum(n)]))
             least = [int(sh[i:j].min().view(np.int64)) if j > i else 0 for i, j in zip(at[:-1], at[1:])]
-            words = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(u.view(np.int64)))
+            words = pa.array([u[i:j].tobytes() for i, j in zip(begin[:-1], begin[1:])], pa.binary())
             cols = [words, pa.array(rates.tolist(), pa.list_(pa.float64())), pa.array(least, pa.int64()), batch.column(1).slice(a, b - a)]
             yield pa.RecordBatch.from_arrays(cols, ["words", "rates", "near", "ys"])
 
@@ -170,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> Chain | None:
     if not n:
         return None
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n)))
-    rows = docs.join(known, "doc_id").select("text", "ys").mapInArrow(_sampled, "words array<long>, rates array<double>, near long, ys array<int>").collect()
-    rows = sorted((list(r.words), list(r.rates), r.near, tuple(r.ys)) for r in rows)
+    rows = docs.join(known, "doc_id").select("text", "ys").mapInArrow(_sampled, "words binary, rates array<double>, near long, ys array<int>").collect()
+    rows = sorted((bytes(r.words), list(r.rates), r.near, tuple(r.ys)) for r in rows)
     return fit(rows, [c for c, _ in chain]) if rows else None
 
 

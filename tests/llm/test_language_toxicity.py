@@ -66,6 +66,6 @@ def test_chain_feeds_earlier_probabilities():
     rows = []
     for i in range(400):
         y = int(rng.random() < 0.5)
-        rows.append(([int(x) for x in np.unique(rng.integers(0, 50, 5))] + [100] * y, [0.0, 0.0, 0.0, 0.0], i, (y, y)))
+        rows.append((np.append(np.unique(rng.integers(0, 50, 5)), [100] * y).astype(np.uint64).tobytes(), [0.0, 0.0, 0.0, 0.0], i, (y, y)))
     chain = T.fit(rows, ["a", "b"])
     assert len(chain.models[1]) == len(chain.models[0]) + 1 and chain.models[1][-2] > 0.1
