@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .graph import written
+
 MAD_TO_RMS = 1.4826
 #: Of the quantile summaries, and how many values may be read at the end.
 ACCURACY, COLLECT = 10_000, 50_000
@@ -136,20 +138,10 @@ def clipped(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds
         keep = F.col("n").isNull() | F.col("_done")
         still = ~keep & (F.abs(F.col("rms") - F.col("_rms")) / F.col("_rms") > tol)
         state = j.select(*keys, *[F.when(keep, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "mean", "median", "rms")], (~F.coalesce(still, F.lit(False))).alias("done"))
-        state = state.sparkSession.createDataFrame(state.collect(), state.schema) if keys == ["_all"] else state.checkpoint() if _has_folder(state) else state
+        state = written(state, "clipped")
     return state.drop("done", "_all")
 
 
-def _has_folder(df: DataFrame) -> bool:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return True
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        sc.setCheckpointDir(folder)
-    return bool(folder)
-
-
 def biweight(df: DataFrame, keys: list[str], w: str = "w", c: float = 6.0, rounds: int = 10, tol: float = 1e-4) -> DataFrame:
     """(keys, n, location, scale): Tukey's biweight from the median and MAD on, at most `rounds` steps."""
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -248,8 +240,6 @@ def pagerank(edges: DataFrame, d: float = 0.85, tol: float = 1e-4, rounds: int =
 
     Ranks have unit length. Raises if it doesn't converge within `rounds`.
     """
-    from .graph import written
-
     nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(n**-0.5))

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 TILE = 256
 
 
-def tiled_apply(px: DataFrame, reach: int, fn: Callable[[np.ndarray], dict[str, np.ndarray] | np.ndarray], shape: tuple[int, int], border: str = "zero", names: tuple[str, ...] = ("w",), w: str = "w", tile: int = TILE) -> DataFrame:
+def tiled_apply(px: DataFrame, reach: int, fn: Callable[..., dict[str, np.ndarray] | np.ndarray], shape: tuple[int, int], border: str = "zero", names: tuple[str, ...] = ("w",), w: tuple[str, ...] = ("w",), tile: int = TILE) -> DataFrame:
     """(ix, iy, *names): fn of each tile with its margin.
 
-    fn gets a 2-D array [iy, ix] of the tile and `reach` more pixels on each side and returns arrays of the same
-    shape; the margin of the result is thrown away. Pixels absent from the frame are 0 and have no output.
+    fn gets a 2-D array [iy, ix] for each column of `w`, of the tile and `reach` more pixels on each side, and returns
+    arrays of the same shape; the margin of the result is thrown away. Pixels absent from the frame are 0 and
+    have no output.
     """
     nx, ny = shape
     tx, ty = F.floor(F.col("ix") / tile), F.floor(F.col("iy") / tile)
@@ -32,25 +33,25 @@ def tiled_apply(px: DataFrame, reach: int, fn: Callable[[np.ndarray], dict[str,
         copies.append(F.when(near_x & near_y & inside, F.struct((tx + dx).alias("tx"), (ty + dy).alias("ty"))))
     if reach > tile:
         raise ValueError(f"a reach of {reach} needs tiles of at least that size")
-    spread = px.select("ix", "iy", F.col(w).cast("double").alias("w"), F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("t")).select("t.tx", "t.ty", "ix", "iy", "w")
+    values = [F.col(c).cast("double").alias(c) for c in w]
+    spread = px.select("ix", "iy", *values, F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("t")).select("t.tx", "t.ty", "ix", "iy", *w)
 
     def one(pdf):
         import pandas as pd
 
         x0, y0 = int(pdf["tx"].iloc[0]) * tile, int(pdf["ty"].iloc[0]) * tile
         lo_x, lo_y, hi_x, hi_y = max(0, x0 - reach), max(0, y0 - reach), min(nx, x0 + tile + reach), min(ny, y0 + tile + reach)
-        a, have = np.zeros((hi_y - lo_y, hi_x - lo_x)), np.zeros((hi_y - lo_y, hi_x - lo_x), bool)
+        have = np.zeros((hi_y - lo_y, hi_x - lo_x), bool)
         yy, xx = pdf["iy"].to_numpy() - lo_y, pdf["ix"].to_numpy() - lo_x
-        a[yy, xx], have[yy, xx] = pdf["w"].to_numpy(), True
-        pad = ((lo_y - y0 + reach, y0 + tile + reach - hi_y), (lo_x - x0 + reach, x0 + tile + reach - hi_x))
-        if border == "mirror":
-            # The lower and right margins of a cut-off tile lie beyond the image; only `reach` of them matters.
-            m = tuple((p, min(q, reach)) for p, q in pad)
-            a = np.pad(a, m, mode="reflect")
-        else:
-            m = tuple((p, min(q, reach)) for p, q in pad)
-            a = np.pad(a, m, constant_values=0.0 if border == "zero" else np.nan)
-        got = fn(a)
+        have[yy, xx] = True
+        # The far margins of a cut-off tile lie beyond the image; only `reach` of them matters.
+        pad = tuple((p, min(q, reach)) for p, q in ((lo_y - y0 + reach, y0 + tile + reach - hi_y), (lo_x - x0 + reach, x0 + tile + reach - hi_x)))
+        arrays = []
+        for c in w:
+            a = np.zeros(have.shape)
+            a[yy, xx] = pdf[c].to_numpy()
+            arrays.append(np.pad(a, pad, mode="reflect") if border == "mirror" else np.pad(a, pad, constant_values=0.0 if border == "zero" else np.nan))
+        got = fn(*arrays)
         got = got if isinstance(got, dict) else {names[0]: got}
         cx, cy = min(tile, nx - x0), min(tile, ny - y0)
         core = have[y0 - lo_y : y0 - lo_y + cy, x0 - lo_x : x0 - lo_x + cx]
@@ -370,3 +371,19 @@ def dft(points: DataFrame, key: str, n: int, inverse: bool = False) -> DataFrame
     a = sign * 2 * float(np.pi) * ((F.col("k") * F.col("t")) % n) / n
     s = 1.0 / n if inverse else 1.0
     return p.groupBy(key, "k").agg((F.sum(F.col("re") * F.cos(a) - F.col("im") * F.sin(a)) * s).alias("re"), (F.sum(F.col("re") * F.sin(a) + F.col("im") * F.cos(a)) * s).alias("im"))
+
+
+def colour_guided_filter(px: DataFrame, radius: int, eps: float, shape: tuple[int, int], guides: tuple[str, str, str] = ("w", "g1", "g2")) -> DataFrame:
+    """Guided filter of `w` with three guide columns: a 3 x 3 system for each pixel's box."""
+
+    def go(*arrays):
+        p, g = arrays[0], arrays[1:]
+        mean = lambda a: box_mean(a, radius)
+        mg, mp = [mean(a) for a in g], mean(p)
+        cov = np.stack([np.stack([mean(a * b) - ma * mb for b, mb in zip(g, mg)], -1) for a, ma in zip(g, mg)], -2) + eps * np.eye(3)
+        rhs = np.stack([mean(a * p) - ma * mp for a, ma in zip(g, mg)], -1)
+        k = np.linalg.solve(cov, rhs[..., None])[..., 0]
+        b = mp - sum(k[..., i] * mg[i] for i in range(3))
+        return sum(mean(k[..., i]) * g[i] for i in range(3)) + mean(b)
+
+    return tiled_apply(px.withColumn("_p", F.col("w")), 2 * radius, go, shape, "mirror", ("w",), ("_p", *guides))
