@@ -12,6 +12,7 @@ from .html_text import extract_pages
 from .language import identify_languages
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
+from .oracle import ORACLE  # noqa: F401
 from .pii import find_personal_data
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -19,7 +20,7 @@ from .store import table
 from .toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+
 
 
 def query(f):
