@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
+from .store import written
 
 #: Most good documents that a rule may reject of a stratum, in the whole, and the chance of a wrong guarantee.
 ALPHA, DELTA = 0.01, 0.05
@@ -150,7 +151,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     all_docs = measured(docs, id_col, text_col, stratum_col)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("q")).where("q IS NOT NULL AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("q").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_BOUND)
-    some = docs.join(known.select(F.col("doc_id").alias(id_col), "q"), id_col)
+    known = F.broadcast(written(known, "labels"))  # LABEL_BOUND rows at most
+    some = docs.join(known.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
     sample = measured(some, id_col, text_col, stratum_col).join(known, "doc_id").where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words")
     cuts = certified_cutoffs([tuple(r) for r in sample.select("stratum", "q", *_RATES).collect()])
     rejected = F.lit(False)
