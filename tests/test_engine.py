@@ -185,3 +185,16 @@ def test_superpixels_follow_values(spark):
 def test_expressions(spark):
     r = spark.range(1).select(*[C.erfc(F.lit(x)).alias(f"e{i}") for i, x in enumerate((0.0, 0.5, 1.9, 2.5, 5.0))]).collect()[0]
     assert np.allclose(list(r), [math.erfc(x) for x in (0.0, 0.5, 1.9, 2.5, 5.0)], rtol=1e-9)
+
+
+def test_finder_writes_its_tables(spark, tmp_path):
+    from skyloom.plans import finder
+
+    cat = spark.createDataFrame([(i, "point", 20.0 + 30 * i, 30.0, 10.0, 3.0, 0.0) for i in range(3)], "source_id long, shape string, x0 double, y0 double, amp double, size double, theta double")
+    px = skymodel.sky_model(cat, 100, 60, 0.1)
+    px.write.parquet(str(tmp_path / "img"))
+    o = config.parse("boxSizeX = 30\nboxSizeY = 30\ngridSizeX = 0.5\ngridSizeY = 0.5\ncompactSourceSearchNIters = 1")
+    got = finder.run(spark, finder.open_image(spark, str(tmp_path / "img")), o, str(tmp_path / "out"))
+    assert sorted(r.name for r in got["SourceInfo"].collect()) == ["S1", "S2", "S3"]
+    assert {r.type for r in got["SourceInfo"].collect()} == {2} and got["FitInfo"].where("amplitude IS NOT NULL").count() == 3
+    assert spark.read.text(str(tmp_path / "out/ds9")).count() == 3 and got["Maps"].count() == 6000
