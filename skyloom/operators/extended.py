@@ -113,9 +113,9 @@ def saliency_sources(px: DataFrame, shape: tuple[int, int], sizes: list[int], fa
     return D.find_blobs(z, shape, 1.0, 1.0, min_pixels).select("source_id", "ix", "iy")
 
 
-def contour_sources(px: DataFrame, shape: tuple[int, int], rounds: int, min_pixels: int = 5) -> DataFrame:
+def contour_sources(px: DataFrame, shape: tuple[int, int], rounds: int, min_pixels: int = 5, lambda2: float = 1.0) -> DataFrame:
     """(source_id, ix, iy): blobs inside the level set whose median is over that of the image."""
-    inside = SG.chan_vese(px, shape, rounds)
+    inside = SG.chan_vese(px, shape, rounds, lambda2=lambda2)
     blob = D.find_blobs(inside.select("ix", "iy", F.col("w").alias("z")), shape, 1.0, 1.0, min_pixels).select("source_id", "ix", "iy")
     whole = S.quantile(px, "w", [0.5])[0]
     good = blob.join(px, ["ix", "iy"]).groupBy("source_id").agg(F.percentile("w", 0.5).alias("m")).where(F.col("m") > whole)

@@ -156,7 +156,7 @@ def d20(spark, d):
 @query("d21_contour_sources")
 def d21(spark, d):
     px, s = image(spark, d)
-    return X.contour_sources(px, s, 10)
+    return X.contour_sources(px, s, 20, 3)
 
 
 @query("x05_single_threshold", f"{ZMAP}, {TRUE.replace('1.5', '2.0').replace('2.5', '2.0')} SELECT source_id, ix, iy FROM blobst")
