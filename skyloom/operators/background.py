@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import stats as S
+from .graph import written
 
 ESTIMATORS = ("mean", "median", "biweight", "clipped")
 LEAST_PIXELS = 10
@@ -19,7 +20,7 @@ def sample_background(px: DataFrame, keys: list[str], estimator: str = "median",
     elif estimator == "biweight":
         s = S.biweight(px, keys, w).withColumnsRenamed({"location": "bkg", "scale": "rms"})
     elif estimator == "clipped":
-        s = S.clipped(px, keys, w, 3.0, 100, 0.1).withColumnRenamed("median", "bkg")
+        s = S.clipped_tiles(px, keys, w, 3.0, 100, 0.1).withColumnRenamed("median", "bkg")
     else:
         raise ValueError(f"unknown estimator {estimator!r}: {', '.join(ESTIMATORS)}")
     good = (F.col("n") >= LEAST_PIXELS) & (F.col("bkg") != 0) & ~F.isnan("bkg") & ~F.isnan("rms") & (F.abs("bkg") < float("inf"))
@@ -87,17 +88,20 @@ def bilinear(px: DataFrame, nodes: DataFrame, grid: tuple[int, int], first: tupl
 
     (i, fx), (j, fy) = node("ix", 0), node("iy", 1)
     p = px.withColumns({"_i": i, "_fx": fx, "_j": j, "_fy": fy})
-    for dx in (0, 1):
-        for dy in (0, 1):
-            n = nodes.select(F.col("i").alias(f"_i{dx}{dy}"), F.col("j").alias(f"_j{dx}{dy}"), F.col("bkg").alias(f"_b{dx}{dy}"), F.col("rms").alias(f"_r{dx}{dy}"))
-            p = p.join(n, (F.least(F.col("_i") + dx, F.lit(top[0])) == F.col(f"_i{dx}{dy}")) & (F.least(F.col("_j") + dy, F.lit(top[1])) == F.col(f"_j{dx}{dy}")))
+    # One row a cell of the grid with the values of its four corners, so that pixels are joined once.
+    nodes = written(nodes.select("i", "j", "bkg", "rms"), "nodes")
+    cells = nodes.select(F.col("i").alias("_i"), F.col("j").alias("_j"), F.struct("bkg", "rms").alias("v00"))
+    for dx, dy in ((1, 0), (0, 1), (1, 1)):
+        n = nodes.select(F.col("i").alias("_a"), F.col("j").alias("_b"), F.struct("bkg", "rms").alias(f"v{dx}{dy}"))
+        cells = cells.join(n, (F.least(F.col("_i") + dx, F.lit(top[0])) == F.col("_a")) & (F.least(F.col("_j") + dy, F.lit(top[1])) == F.col("_b"))).drop("_a", "_b")
+    p = p.join(written(cells, "cells"), ["_i", "_j"])
 
     def mix(v):
-        x0 = F.col(f"_{v}00") * (1 - F.col("_fx")) + F.col(f"_{v}10") * F.col("_fx")
-        x1 = F.col(f"_{v}01") * (1 - F.col("_fx")) + F.col(f"_{v}11") * F.col("_fx")
+        x0 = F.col("v00")[v] * (1 - F.col("_fx")) + F.col("v10")[v] * F.col("_fx")
+        x1 = F.col("v01")[v] * (1 - F.col("_fx")) + F.col("v11")[v] * F.col("_fx")
         return x0 * (1 - F.col("_fy")) + x1 * F.col("_fy")
 
-    return p.select(*px.columns, mix("b").alias("bkg"), mix("r").alias("rms"))
+    return p.select(*px.columns, mix("bkg").alias("bkg"), mix("rms").alias("rms"))
 
 
 def local_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid: tuple[int, int], estimator: str = "median", second_pass: bool = False) -> DataFrame:

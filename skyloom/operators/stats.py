@@ -9,6 +9,7 @@ bounded.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .graph import written
 
@@ -142,10 +143,31 @@ def clipped(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds
     return state.drop("done", "_all")
 
 
+def clipped_tiles(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds: int = 100, tol: float = 0.1) -> DataFrame:
+    """What `clipped` gives, for groups of bounded size (tiles, sources): one shuffle, all rounds in memory."""
+    schema = StructType([*[df.schema[c] for c in keys], StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("mean", "median", "rms")]])
+
+    def one(pdf):
+        import numpy as np
+        import pandas as pd
+
+        x = pdf[w].dropna().to_numpy(float)
+        stat = lambda v: (len(v), v.mean(), float(np.median(v)), v.std(ddof=1) if len(v) > 1 else float("nan"))
+        now = stat(x) if len(x) else (0, float("nan"), float("nan"), float("nan"))
+        for _ in range(rounds):
+            v = x[np.abs(x - now[2]) < k * now[3]]
+            if not len(v):
+                break
+            before, now = now, stat(v)
+            if not abs(now[3] - before[3]) / before[3] > tol:
+                break
+        return pd.DataFrame([[*[pdf[c].iloc[0] for c in keys], *now]], columns=[*keys, "n", "mean", "median", "rms"])
+
+    return df.select(*keys, w).groupBy(*keys).applyInPandas(one, schema)
+
+
 def biweight(df: DataFrame, keys: list[str], w: str = "w", c: float = 6.0, rounds: int = 10, tol: float = 1e-4) -> DataFrame:
     """(keys, n, location, scale): Tukey's biweight from the median and MAD on, at most `rounds` steps."""
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
     df = df.withColumn("_all", F.lit(0)) if not keys else df
     names = keys or ["_all"]
     schema = StructType([*[df.schema[k] for k in names], StructField("n", LongType()), StructField("location", DoubleType()), StructField("scale", DoubleType())])

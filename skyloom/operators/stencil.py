@@ -197,8 +197,8 @@ MORPHOLOGY = {
 }
 
 
-def morphology(px: DataFrame, op: str, size: int, shape: tuple[int, int], kind: str = "rect", rounds: int = 1) -> DataFrame:
-    steps, f = MORPHOLOGY[op]
+def morphologies(px: DataFrame, ops: tuple[str, ...], size: int, shape: tuple[int, int], kind: str = "rect", rounds: int = 1) -> DataFrame:
+    """(ix, iy, one column for each operation), all in one pass."""
     el = element(kind, size)
 
     def many(largest):
@@ -209,7 +209,12 @@ def morphology(px: DataFrame, op: str, size: int, shape: tuple[int, int], kind:
 
         return go
 
-    return tiled_apply(px, steps * rounds * (size // 2), lambda a: f(a, many(True), many(False)), shape, "missing")
+    steps = max(MORPHOLOGY[op][0] for op in ops)
+    return tiled_apply(px, steps * rounds * (size // 2), lambda a: {op: MORPHOLOGY[op][1](a, many(True), many(False)) for op in ops}, shape, "missing", ops)
+
+
+def morphology(px: DataFrame, op: str, size: int, shape: tuple[int, int], kind: str = "rect", rounds: int = 1) -> DataFrame:
+    return morphologies(px, (op,), size, shape, kind, rounds).withColumnRenamed(op, "w")
 
 
 def local_maxima(px: DataFrame, size: int, shape: tuple[int, int], skip_border: bool = True) -> DataFrame:

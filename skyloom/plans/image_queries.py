@@ -192,11 +192,8 @@ _MORPH = (
 )
 def w17(spark, d):
     px, s = image(spark, d)
-    result = None
-    for op, name in (("dilate", "dilate"), ("erode", "erode"), ("open", "opened"), ("close", "closed"), ("gradient", "gradient"), ("tophat", "tophat"), ("blackhat", "blackhat")):
-        m = ST.morphology(px, op, 3, s).select("ix", "iy", R("w").alias(name))
-        result = m if result is None else result.join(m, ["ix", "iy"])
-    return result
+    m = ST.morphologies(px, tuple(ST.MORPHOLOGY), 3, s)
+    return out(m, "ix", "iy", **{{"open": "opened", "close": "closed"}.get(op, op): op for op in ST.MORPHOLOGY})
 
 
 @query("w18_find_peaks")

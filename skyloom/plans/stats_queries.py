@@ -368,7 +368,7 @@ def a23(spark, d):
 
 @query("a24_tile_clipped", _clip_sql(f"WITH {TILED}, v AS (SELECT * FROM t)", "tx, ty", 4, 2.5, 0.01, "w"))
 def a24(spark, d):
-    return out(S.clipped(tiled(embedding_image(spark, d)), ["tx", "ty"], k=2.5, rounds=4, tol=0.01), "tx", "ty", "n", mean="mean", median="median", rms="rms")
+    return out(S.clipped_tiles(tiled(embedding_image(spark, d)), ["tx", "ty"], k=2.5, rounds=4, tol=0.01), "tx", "ty", "n", mean="mean", median="median", rms="rms")
 
 
 @query("a25_tile_biweight")

@@ -194,7 +194,7 @@ def test_finder_writes_its_tables(spark, tmp_path):
     px = skymodel.sky_model(cat, 100, 60, 0.1)
     px.write.parquet(str(tmp_path / "img"))
     o = config.parse("boxSizeX = 30\nboxSizeY = 30\ngridSizeX = 0.5\ngridSizeY = 0.5\ncompactSourceSearchNIters = 1")
-    got = finder.run(spark, finder.open_image(spark, str(tmp_path / "img")), o, str(tmp_path / "out"))
+    got = finder.run(spark, finder.open_image(spark, str(tmp_path / "img")), o, str(tmp_path / "out"), beam_pixels=9.0)
     assert sorted(r.name for r in got["SourceInfo"].collect()) == ["S1", "S2", "S3"]
     assert {r.type for r in got["SourceInfo"].collect()} == {2} and got["FitInfo"].where("amplitude IS NOT NULL").count() == 3
     assert spark.read.text(str(tmp_path / "out/ds9")).count() == 3 and got["Maps"].count() == 6000
