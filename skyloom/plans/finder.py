@@ -57,7 +57,7 @@ def find_extended(px: DataFrame, size: tuple[int, int], o: config.Options, metho
     if method == "superpixels":
         return X.superpixel_sources(px, size, o.spSize, 0.5, o.mergeThr)
     if method == "contour":
-        return X.contour_sources(px, size, min(o.niters, 100), o.minNPix)
+        return X.contour_sources(px, size, min(o.cvNIters, 100), o.minNPix)
     if method == "wavelet":
         return D.wavelet_sources(px, size, range(o.wtScaleSearchMin, o.wtScaleSearchMax + 1), o.seedThr, o.mergeThr, o.minNPix)
     raise ValueError(f"unknown method {method!r}: {', '.join(EXTENDED)}")

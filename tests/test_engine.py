@@ -149,10 +149,13 @@ def test_fits_round_trip(spark, tmp_path):
 
 
 def test_options_and_jobs():
-    o = config.parse("seedThr = 7\n# minNPix = 1\nsplitInTiles=T\nnope = 3")
-    assert (o.seedThr, o.minNPix, o.splitInTiles) == (7.0, 5, True)
-    with pytest.raises(ValueError):
-        config.parse("bkgEstimator = 9")
+    with pytest.warns(UserWarning, match="no option nope"):
+        o = config.parse("seedThr = 7\n# minNPix = 1\nsplitInTiles=T\nnope = 3\noutputFile = a.root // where")
+    assert (o.seedThr, o.minNPix, o.splitInTiles, o.outputFile, o.inputImage) == (7.0, 10, True, "a.root", "img")
+    for bad in ("bkgEstimator = 9", "seedThr = 0", "spSize = 5", "spSize = many"):  # bounds are exclusive
+        with pytest.warns(UserWarning):
+            assert config.parse(bad) == config.Options()
+    assert len(config.fields(o)) == 182 and all(lo < hi for lo, hi in config.LIMITS.values())
     assert config.valid_job('{"options": [{"name": "a", "value": 1}]}') and not config.valid_job('{"options": []}') and not config.valid_job("x")
 
 
