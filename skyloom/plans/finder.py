@@ -20,7 +20,8 @@ from ..sources.image import shape, tile
 
 #: Estimator names by the option's number.
 ESTIMATORS = {1: "mean", 2: "median", 3: "biweight", 4: "clipped"}
-EXTENDED = ("saliency", "superpixels", "contour", "wavelet")
+#: Searches for extended sources by the number in option extendedSearchMethod.
+EXTENDED = {1: "wavelet", 2: "superpixels", 3: "contour", 4: "saliency"}
 
 
 def open_image(spark: SparkSession, path: str, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None) -> DataFrame:
@@ -31,8 +32,13 @@ def open_image(spark: SparkSession, path: str, x: tuple[int, int] | None = None,
     return px if x is None or y is None else tile(px, *x, *y)
 
 
-def smoothed(px: DataFrame, size: tuple[int, int], model: str = "gauss") -> DataFrame:
-    return ST.guided_filter(px, 12, 0.04, size) if model == "guided" else ST.convolve(px, ST.gauss_kernel(5, 1.0), size, "mirror")
+def smoothed(px: DataFrame, size: tuple[int, int], o: config.Options) -> DataFrame:
+    """The image smoothed as the options say: not at all, by a Gaussian (smoothFilter 1) or a guided filter (2)."""
+    if not o.usePreSmoothing:
+        return px
+    if o.smoothFilter == 2:
+        return ST.guided_filter(px, int(o.guidedFilterRadius), o.guidedFilterColorEps, size)
+    return ST.convolve(px, ST.gauss_kernel(o.gausFilterKernSize, o.gausFilterSigma), size, "mirror")
 
 
 def edge_image(px: DataFrame, size: tuple[int, int], model: str = "kirsch", rounds: int = 20) -> DataFrame:
@@ -60,7 +66,7 @@ def find_extended(px: DataFrame, size: tuple[int, int], o: config.Options, metho
         return X.contour_sources(px, size, min(o.cvNIters, 100), o.minNPix)
     if method == "wavelet":
         return D.wavelet_sources(px, size, range(o.wtScaleSearchMin, o.wtScaleSearchMax + 1), o.seedThr, o.mergeThr, o.minNPix)
-    raise ValueError(f"unknown method {method!r}: {', '.join(EXTENDED)}")
+    raise ValueError(f"unknown method {method!r}: {', '.join(EXTENDED.values())}")
 
 
 def run(spark: SparkSession, px: DataFrame, o: config.Options, sink: str, extended: str | None = None, beam_pixels: float = 1.0) -> dict[str, DataFrame]:
@@ -80,8 +86,10 @@ def run(spark: SparkSession, px: DataFrame, o: config.Options, sink: str, extend
     done("background")
     found = written(D.find_compact(px, size, o.seedThr, o.mergeThr, o.minNPix, box, grid, o.compactSourceSearchNIters, o.seedThrStep).withColumn("extended", F.lit(False)), "compact")
     done("search")
+    extended = extended or (EXTENDED.get(o.extendedSearchMethod) if o.searchExtendedSources else None)
     if extended:
-        rest = written(D.residual_map(px, found.select("source_id", "ix", "iy", "w"), 5, size), "residual")
+        rest = D.residual_map(px, found.select("source_id", "ix", "iy", "w"), o.dilateKernelSize, size) if o.useResidualInExtendedSearch else px
+        rest = written(smoothed(written(rest, "residual"), size, o), "smoothed")
         more = find_extended(rest, size, o, extended).join(px, ["ix", "iy"])
         more = more.select((-F.col("source_id") - 1).alias("source_id"), "ix", "iy", "w", F.lit(0.0).alias("z"), F.lit(True).alias("extended"))
         found = written(found.unionByName(more), "all")

@@ -201,3 +201,21 @@ def test_finder_writes_its_tables(spark, tmp_path):
     assert sorted(r.name for r in got["SourceInfo"].collect()) == ["S1", "S2", "S3"]
     assert {r.type for r in got["SourceInfo"].collect()} == {2} and got["FitInfo"].where("amplitude IS NOT NULL").count() == 3
     assert spark.read.text(str(tmp_path / "out/ds9")).count() == 3 and got["Maps"].count() == 6000
+
+
+def test_finder_follows_its_options(spark, tmp_path):
+    from skyloom.plans import finder
+
+    cat = spark.createDataFrame([(0, "gauss", 48.0, 32.0, 10.0, 8.0, 0.0)], "source_id long, shape string, x0 double, y0 double, amp double, size double, theta double")
+    px = skymodel.sky_model(cat, 96, 64, 0.1)
+    px.write.parquet(str(tmp_path / "img"))
+    px = finder.open_image(spark, str(tmp_path / "img"))
+    same = finder.smoothed(px, (96, 64), config.parse("usePreSmoothing = false"))
+    assert same is px
+    top = {k: finder.smoothed(px, (96, 64), config.Options(smoothFilter=k)).agg(F.max("w")).collect()[0][0] for k in (1, 2)}
+    whole = px.agg(F.max("w")).collect()[0][0]
+    assert 0 < top[1] <= whole and 0 < top[2] <= whole and top[1] != top[2]
+    o = config.parse("searchExtendedSources = true\nextendedSearchMethod = 1\nwtScaleSearchMin = 3\nwtScaleSearchMax = 4\nuseResidualInExtendedSearch = false\nseedThr = 3\ncompactSourceSearchNIters = 1")
+    got = finder.run(spark, px, o, str(tmp_path / "out"), beam_pixels=9.0)
+    assert got["ConfigInfo"].where("name = 'searchExtendedSources'").collect()[0].value == "True"
+    assert got["PixelInfo"].where("extended").count() > 0
