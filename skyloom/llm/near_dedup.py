@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = stars.where(linked)
     first = components(near)
     # Members of a bucket whose components differ. away: size of the symmetric difference with the pivot's set;
-    # own: shingles that no other such document has. |X ^ Y| >= away_x + away_y - 2 min(away_x - own_x, away_y - own_y).
+    # own: shingles that neither another such document nor a pivot has. |X ^ Y| >= away_x + away_y - 2 min(away_x - own_x, away_y - own_y).
     whole = (
         members.join(first.withColumnRenamed("id", "rep"), "rep", "left")
         .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "na", "nb", "both"), ["pivot", "rep"], "left")
@@ -142,9 +142,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     mixed = whole.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = written(
-        whole.join(mixed, "key").where("c > 2 AND rep <> pivot").select("key", "c", "rep", "comp", F.col("nb").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("away")), "rest"
+        whole.join(mixed, "key").where("c > 2 AND rep <> pivot").select("key", "c", "pivot", "rep", "comp", F.col("nb").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("away")), "rest"
     )
-    crowd = sets.join(rest.where("c > 16").select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    crowd = sets.join(rest.where("c > 16").select(F.explode(F.array("pivot", "rep")).alias("id")).distinct(), "id", "left_semi")
     own = crowd.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k = 1").groupBy("rep").agg(F.count("*").alias("own"))
     bound = rest.join(own, "rep", "left").select("key", "rep", "comp", "n", "away", F.when(F.col("c") > 16, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
     x, y = (bound.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "away", "own")]) for s in "xy")

@@ -61,6 +61,19 @@ def test_groups_match_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_crowded_buckets_of_truncated_copies(spark):
+    """Only X links the copies of Y to the pivot: shingles that X shares with the pivot alone don't set it apart from Y."""
+    rows = []
+    for g in range(12):
+        w = [f"g{g}w{i}" for i in range(103)]
+        for text in [w, w[:102], w[:88]] + [w[:87] + [f"new{i}"] for i in range(40)]:
+            rows.append((len(rows), " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert sum(k for _, _, k in want.values()) == 12
+    assert got == want
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (0, "a b c")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id, r.kept) for r in N.near_duplicates(df).collect() if r.doc_id is not None)
