@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 from .store import written
@@ -21,8 +21,6 @@ from .store import written
 ALPHA, DELTA = 0.01, 0.05
 #: Cutoffs tested for each rule: quantiles of all labelled documents, counted from the rejected end.
 GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.3)
-#: Labelled documents used at most (those whose hashed id is least).
-LABEL_BOUND = 50_000
 #: Metric and the side that is rejected.
 RULES = (("symbol_rate", "high"), ("repeat_rate", "high"), ("dup_line_rate", "high"), ("upper_rate", "high"), ("digit_rate", "high"), ("mean_word", "high"), ("mean_word", "low"))
 
@@ -117,6 +115,16 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
+def _best(steps: list[tuple], n_good: int, each: float, share: float) -> float | None:
+    """The last cutoff of (cutoff, good rejected, bad rejected), from the mildest on, that is certified and rejects something bad."""
+    best = None
+    for cut, good, bad in steps:
+        if good > share * n_good or binomial_upper(good, n_good, each) > share:
+            break
+        best = cut if bad else best
+    return best
+
+
 def certified_cutoffs(labelled: list[tuple], alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, str, float]]:
     """(stratum, metric, side, cutoff) from rows (stratum, good, *rates). A stratum with too few good documents gets none; rules that reject nothing bad are left out."""
     found = []
@@ -128,18 +136,66 @@ def certified_cutoffs(labelled: list[tuple], alpha: float = ALPHA, delta: float
         for metric, side in RULES:
             v = np.array([r[2 + _RATES.index(metric)] for r in rows])
             sign = 1 if side == "high" else -1
-            best = None
+            steps = []
             for q in GRID:
                 cut = sign * np.quantile(sign * v, 1 - q, method="higher")
                 gone = sign * v > sign * cut
-                if binomial_upper(int((gone & good).sum()), int(good.sum()), each) > share:
-                    break
-                best = cut if (gone & ~good).any() else best
+                steps.append((cut, int((gone & good).sum()), int((gone & ~good).sum())))
+            best = _best(steps, int(good.sum()), each, share)
             if best is not None:
                 found.append((st, metric, side, float(best)))
     return found
 
 
+def cutoffs_of(sample: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, str, float]]:
+    """`certified_cutoffs` of a table (stratum, q, rates), whatever its size.
+
+    Values are counted and dealt out in order; sums of the parts before give every value its rank, and only the
+    values at the grid's ranks, with the good and all documents below them, come to the driver.
+    """
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in _RATES])).alias("x")
+    rows = sample.where("stratum IS NOT NULL").select("stratum", F.when(F.col("q") != 0, 1).otherwise(0).alias("good"), long)
+    counts = rows.groupBy("stratum", "x.metric", "x.v").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    counts = written(counts.repartitionByRange("stratum", "metric", "v").withColumn("part", F.spark_partition_id()), "values")
+    parts = counts.groupBy("stratum", "metric", "part").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()
+    total, before = {}, []
+    for st, metric, part, n, good in sorted(parts):
+        have = total.setdefault((st, metric), (0, 0))
+        before.append((st, metric, part, *have))
+        total[st, metric] = (have[0] + n, have[1] + good)
+    if not total:
+        return []
+    wanted = {}
+    for (st, metric), (n, _) in total.items():
+        for m, side in RULES:
+            if m == metric:
+                ranks = [math.ceil((n - 1) * (1 - q)) for q in GRID]
+                wanted[st, metric, side] = ranks if side == "high" else [n - 1 - i for i in ranks]
+    spark = sample.sparkSession
+    offsets = spark.createDataFrame(before, "stratum string, metric string, part int, n0 long, good0 long")
+    ranks = spark.createDataFrame(sorted({(st, m, i) for (st, m, _), r in wanted.items() for i in r}), "stratum string, metric string, i long")
+    upto = Window.partitionBy("stratum", "metric", "part").orderBy("v")
+    at = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("good_upto", F.sum("good").over(upto)).join(F.broadcast(offsets), ["stratum", "metric", "part"])
+    at = at.select("stratum", "metric", "v", "n", "good", (F.col("n0") + F.col("upto")).alias("upto"), (F.col("good0") + F.col("good_upto")).alias("good_upto"))
+    at = at.join(F.broadcast(ranks), ["stratum", "metric"]).where("i < upto AND i >= upto - n")
+    value = {(r.stratum, r.metric, r.i): r for r in at.collect()}
+    strata = sorted({st for st, _ in total})
+    each, share = delta / max(1, len(strata) * len(RULES)), alpha / len(RULES)
+    found = []
+    for st in strata:
+        for metric, side in RULES:
+            n, n_good = total[st, metric]
+            steps = []
+            for i in wanted[st, metric, side]:
+                r = value[st, metric, i]
+                gone, good = (n - r.upto, n_good - r.good_upto) if side == "high" else (r.upto - r.n, r.good_upto - r.good)
+                steps.append((r.v, good, gone - good))
+            best = _best(steps, n_good, each, share)
+            if best is not None:
+                found.append((st, metric, side, best))
+    return found
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """One row for each row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, stratum and the rates.
 
@@ -148,13 +204,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     cutoffs. Without labels nothing is certified and base_failed alone decides. Labels that repeat for an id
     count once, as good if any says so.
     """
-    all_docs = measured(docs, id_col, text_col, stratum_col)
+    all_docs = written(measured(docs, id_col, text_col, stratum_col), "measured")
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("q")).where("q IS NOT NULL AND doc_id IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.max("q").alias("q")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABEL_BOUND)
-    known = F.broadcast(written(known, "labels"))  # LABEL_BOUND rows at most
-    some = docs.join(known.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    sample = measured(some, id_col, text_col, stratum_col).join(known, "doc_id").where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words")
-    cuts = certified_cutoffs([tuple(r) for r in sample.select("stratum", "q", *_RATES).collect()])
+    known = known.groupBy("doc_id").agg(F.max("q").alias("q"))
+    cuts = cutoffs_of(all_docs.where("n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words").join(known, "doc_id").select("stratum", "q", *_RATES))
     rejected = F.lit(False)
     for st, metric, side, cut in cuts:
         rejected = rejected | ((F.col("stratum") == st) & ((F.col(metric) > cut) if side == "high" else (F.col(metric) < cut)))

@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from skyloom.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,3 +54,25 @@ def test_cutoffs_reject_bad_and_keep_good():
     gone = [r for r in rows if r[2] > cuts[0][3]]
     assert sum(r[1] == 0 for r in gone) > 700 and sum(r[1] for r in gone) <= 90
     assert Q.certified_cutoffs([("en", 1, 0, 0, 0, 0, 0, 1.0)] * 5) == []
+
+
+def test_cutoffs_count_every_label(spark):
+    rng = random.Random(2)
+    rates = lambda st: (0.3 + rng.random() if st == "bad" else rng.randrange(9) / 900, rng.choice([0.0, 0.1]), 0.0, rng.random(), 0.02, 3.0 + rng.random())
+    rows = [("en", 1, *rates("good")) for _ in range(60000)] + [("es", 1, *rates("good")) for _ in range(5000)]
+    rows += [(st, 0, *rates("bad")) for st in ("en", "es") for _ in range(500)] + [(None, 0, *rates("bad"))]
+    names = ", ".join(f"{x} double" for x in Q._RATES)
+    got = Q.cutoffs_of(spark.createDataFrame(rows, f"stratum string, q int, {names}").repartition(5))
+    assert got == Q.certified_cutoffs(rows)
+    assert [c[:2] for c in got].count(("es", "symbol_rate")) == 1
+    assert Q.cutoffs_of(spark.createDataFrame([], f"stratum string, q int, {names}")) == []
+
+
+def test_more_than_50000_labels(spark):
+    """es has 5,000 good labels among 80,000: enough for a cutoff, and some five eighths of them would not be."""
+    text = F.concat_ws(" ", *[F.concat(F.lit(c), F.col("id")) for c in "abcdefghijkl"])
+    es = F.col("id") % 15 == 0
+    bad = es & (F.col("id") % 300 == 0)
+    docs = spark.range(80000).select(F.col("id").alias("doc_id"), F.when(bad, F.concat(text, F.lit(" ####"))).otherwise(text).alias("text"), F.when(es, "es").otherwise("en").alias("lang"), (~bad).cast("int").alias("quality"))
+    got = Q.quality_rules(docs.drop("quality"), docs.select("doc_id", "quality")).groupBy("kept").count().collect()
+    assert {r.kept: r["count"] for r in got}[False] > 200
