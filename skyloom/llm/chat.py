@@ -32,13 +32,45 @@ def parsed(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     return m.select("conv_id", "turn", "role", F.expr(lines).alias("lines"), F.trim(F.array_join(F.expr(own), "\n"), F.lit(" \t\n")).alias("content"), F.coalesce(F.array_max("levels"), F.lit(0)).alias("quote_level"))
 
 
+def _placed(rows: DataFrame, turns: DataFrame, starts: DataFrame) -> DataFrame:
+    """`rows` with `at`, the last of starts (conv_id, start, root) at or before the turn: within chunks of turns, then over chunks, so that one long conversation is many groups."""
+    starts = starts.select("conv_id", F.floor(F.col("start") / CHUNK).alias("chunk"), F.struct("start", "root").alias("s"))
+    chunks = turns.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).distinct()
+    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.join(starts.groupBy("conv_id", "chunk").agg(F.max("s").alias("last"), F.collect_set("s").alias("starts")), ["conv_id", "chunk"], "left")
+    none = F.expr("named_struct('start', 0L, 'root', 0L)")
+    chunks = chunks.select("conv_id", "chunk", F.coalesce(F.max("last").over(before), none).alias("earlier"), "starts")
+    out = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).join(chunks, ["conv_id", "chunk"], "left")
+    return out.withColumn("at", F.coalesce(F.expr("array_max(filter(starts, s -> s.start <= turn))"), "earlier")).drop("chunk", "starts", "earlier")
+
+
+def _rooted(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """(conv_id, start, root): the thread of each section of starts (conv_id, start, original), by pointer jumping."""
+    alone = starts.select("conv_id", "start", F.col("start").alias("root"))
+    if starts.isEmpty():
+        return alone
+    turns = rows.select("conv_id", "turn")
+    tips = _placed(turns, turns, alone).where("at IS NOT NULL").groupBy("conv_id", F.col("at.start").alias("up")).agg(F.max("turn").alias("original"))
+    opened = starts.join(starts.select("conv_id", F.col("start").alias("original")), ["conv_id", "original"], "left_semi").select("conv_id", "start", F.col("original").alias("up"))
+    ended = starts.groupBy("conv_id", "original").agg(F.min("start").alias("start")).join(tips, ["conv_id", "original"]).select("conv_id", "start", "up")
+    up = written(opened.unionByName(ended).distinct(), "up")
+    while True:
+        further = up.select("conv_id", F.col("start").alias("up"), F.col("up").alias("up2"))
+        after = written(up.join(further, ["conv_id", "up"], "left").select("conv_id", "start", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), "up")
+        up = after.select("conv_id", "start", "up")
+        if after.where("moved").isEmpty():
+            return starts.join(up, ["conv_id", "start"], "left").select("conv_id", "start", F.coalesce("up", "start").alias("root"))
+
+
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn, role, content, reply_to, linked, thread, quote_level, n_quoted, n_found, formatted) for each row.
 
     n_quoted and n_found: quoted lines, and those whose original is an earlier message. reply_to: the original of
     most words quoted at level 1 (then the later one), if there is one (linked); else the turn before; null for
-    turn 0. A linked message that doesn't answer the turn before starts a thread, whose number is its turn; the
-    order of a conversation is by thread and turn. A null text is empty; rows with a null conversation or turn are
+    turn 0. A linked message that doesn't answer the turn before starts a section, which reaches to the next such
+    message. The section belongs to the thread of the message answered if that one starts a section itself or ends
+    one and is answered here first; else it starts a thread, whose number is its turn. `in_reply_order` orders a
+    conversation by thread and turn. A null text is empty; rows with a null conversation or turn are
     linked with nothing and have a null thread. Rows that repeat get the same answer each. Other columns are not
     read; an empty table gives no rows.
     """
@@ -50,18 +82,12 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     votes = met.groupBy("conv_id", "turn", "original").agg(F.sum(F.when(F.col("level") == 1, F.col("words")).otherwise(0)).alias("w"), F.sum("n").alias("n"))
     best = F.max(F.when(F.col("original").isNotNull() & (F.col("w") > 0), F.struct("w", "original")))["original"]
     links = written(votes.groupBy("conv_id", "turn").agg(best.alias("original"), F.sum(F.when(F.col("original").isNotNull(), F.col("n")).otherwise(0)).alias("n_found")), "links")
-    # The thread of a turn is the last start at or before it: within chunks of turns, then over chunks, so that one long conversation is many groups.
-    starts = links.where("original IS NOT NULL AND original <> turn - 1").select("conv_id", F.col("turn").alias("start"), F.floor(F.col("turn") / CHUNK).alias("chunk"))
-    chunks = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", F.floor(F.col("turn") / CHUNK).alias("chunk")).distinct()
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.join(starts.groupBy("conv_id", "chunk").agg(F.max("start").alias("last"), F.sort_array(F.collect_set("start")).alias("starts")), ["conv_id", "chunk"], "left")
-    chunks = chunks.select("conv_id", "chunk", F.coalesce(F.max("last").over(before), F.lit(0)).alias("earlier"), "starts")
-    out = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).join(links, ["conv_id", "turn"], "left").join(chunks, ["conv_id", "chunk"], "left")
-    inside = F.expr("array_max(filter(starts, s -> s <= turn))")
+    starts = links.where("original IS NOT NULL AND original <> turn - 1").select("conv_id", F.col("turn").alias("start"), "original")
+    out = _placed(rows, rows, _rooted(rows, starts)).join(links, ["conv_id", "turn"], "left")
     level = F.expr("size(filter(lines, x -> x.level > 0))").cast("long")
     reply = F.coalesce("original", F.when(F.col("conv_id").isNotNull() & (F.col("turn") > 0), F.col("turn") - 1))
     return out.select(
-        "conv_id", "turn", "role", "content", reply.alias("reply_to"), F.col("original").isNotNull().alias("linked"), F.coalesce(inside, "earlier").alias("thread"), F.col("quote_level").cast("int").alias("quote_level"), level.alias("n_quoted"),
+        "conv_id", "turn", "role", "content", reply.alias("reply_to"), F.col("original").isNotNull().alias("linked"), F.col("at.root").alias("thread"), F.col("quote_level").cast("int").alias("quote_level"), level.alias("n_quoted"),
         F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), "content").alias("formatted"),
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat import link_quotations
+from .chat import in_reply_order, link_quotations
 from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .language import identify_languages
@@ -75,4 +75,4 @@ def op2_personal_data(spark, sf_dir):
 
 @query
 def op5_chat(spark, sf_dir):
-    return link_quotations(table(spark, sf_dir, "conversations"))
+    return in_reply_order(link_quotations(table(spark, sf_dir, "conversations")))

@@ -40,3 +40,11 @@ def test_long_conversation_and_repeats(spark):
         start = max([0] + [s for s in (899, 1799, 2699) if s <= r.turn])
         assert r.thread == start
         assert r.reply_to == (r.turn - 700 if r.turn % 900 == 899 else r.turn - 1 if r.turn else None)
+
+
+def test_interleaved_threads(spark):
+    answers = {1: {2: 0, 3: 1, 4: 2, 5: 3, 7: 4}, 2: {4: 0, 6: 2, 7: 4}}  # conversation: turn -> turn quoted
+    rows = [(c, t, "user", (f"> line {a[t]}\n" if t in a else "") + f"line {t}") for c, a in answers.items() for t in range(8)]
+    got = C.in_reply_order(C.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r.thread, r.turn) for r in got if r.conv_id == 1] == [(0, 0), (0, 1), (0, 3), (0, 5), (0, 6), (2, 2), (2, 4), (2, 7)]
+    assert [(r.thread, r.turn) for r in got if r.conv_id == 2] == [(0, 0), (0, 1), (0, 2), (0, 3), (4, 4), (4, 5), (4, 7), (6, 6)]
