@@ -1,8 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass 1 decides a block by where it stands (inside an element that
-is boilerplate by name or class, inside the article element) and else by its length, link density and stop-word
-density. Pass 2 gives each block left undecided, all of them short, the label of its nearest decided neighbours.
+is boilerplate by name or class) and else by its length, link density and stop-word density, on pages with and
+without an article element. Pass 2 gives each block left undecided the label of its nearest decided neighbours;
+inside an article element that holds the page's prose it is kept.
 """
 
 from __future__ import annotations
@@ -129,22 +130,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def decide(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
-    """Which blocks are main text."""
-    has_article = any(inside and not bad for _, _, bad, inside in found)
-    marks = []
-    for text, linked, bad, inside in found:
-        words = text.split()
-        density, stops = linked / max(1, len(text)), sum(w.strip(".,;:!?").lower() in STOP_WORDS for w in words) / max(1, len(words))
-        if bad or (has_article and not inside):
-            mark = BAD
-        elif density > LINKY:
-            mark = OPEN if has_article else BAD
-        elif has_article or (len(words) >= LONG and stops >= STOPPY) or len(words) >= VERY_LONG:
-            mark = GOOD
-        else:
-            mark = OPEN
-        marks.append(mark)
+def _settled(marks: list[int], default: int) -> list[int]:
+    """Undecided marks get that of the nearest decided neighbours."""
     n, before, after = len(marks), [], []
     last = None
     for i, m in enumerate(marks):
@@ -155,18 +142,41 @@ def decide(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         last = i if marks[i] else last
         after.append(last)
     after.reverse()
-    keep = []
+    out = []
     for i, m in enumerate(marks):
         if m == OPEN:
             p, q = before[i], after[i]
             if p is None and q is None:
-                m = GOOD
+                m = default
             elif p is None or q is None or marks[p] == marks[q]:
                 m = marks[p if p is not None else q]
             else:
                 m = marks[p] if i - p < q - i else marks[q] if q - i < i - p else GOOD
-        keep.append(m == GOOD)
-    return keep
+        out.append(m)
+    return out
+
+
+def decide(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+    """Which blocks are main text.
+
+    Length, link density and stop words are read on every page. Article elements are a prior for what these leave
+    open, unless long prose stands outside of them only: then they are teasers, and blocks inside count as others.
+    """
+    marks, dense = [], []
+    for text, linked, bad, _ in found:
+        words = text.split()
+        density, stops = linked / max(1, len(text)), sum(w.strip(".,;:!?").lower() in STOP_WORDS for w in words) / max(1, len(words))
+        dense.append(density > LINKY)
+        prose = (len(words) >= LONG and stops >= STOPPY) or len(words) >= VERY_LONG
+        marks.append(BAD if bad or dense[-1] else GOOD if prose else OPEN)
+    inside = [x[3] and not x[2] for x in found]
+    prose_in, prose_out = (any(m == GOOD and i == where for m, i in zip(marks, inside)) for where in (True, False))
+    if not any(inside) or (prose_out and not prose_in):
+        return [m == GOOD for m in _settled(marks, GOOD)]
+    marks = [(OPEN if d else GOOD) if i else m for m, d, i in zip(marks, dense, inside)]
+    outer = iter(_settled([m for m, i in zip(marks, inside) if not i], BAD))
+    marks = [m if i else next(outer) for m, i in zip(marks, inside)]
+    return [m == GOOD for m in _settled(marks, GOOD)]
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:

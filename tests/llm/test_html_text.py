@@ -17,6 +17,13 @@ def test_without_article_element():
     assert H.main_text(page)[0] == f"A story\n{long}\nShort one.\n{long}"
 
 
+def test_article_elements_that_do_not_hold_the_text():
+    long = "This is the story of a man and of the sea that he was in for all of the days to come by the shore."
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i}</a></h3></article>" for i in range(3))
+    assert H.main_text(f"<div class=post><h1>A story</h1><p>{long}</p><p>{long}</p></div>{cards}")[0] == f"A story\n{long}\n{long}"
+    assert H.main_text(f"<article><p>{long}</p><p>Short.</p></article><p>Stray line</p><footer>Me</footer><div>{long}</div>")[0] == f"{long}\nShort.\n{long}"
+
+
 def test_broken_markup():
     assert H.main_text(None)[0] == H.main_text("")[0] == ""
     assert H.main_text("<article><p>cut &am")[0] == "cut &am"
