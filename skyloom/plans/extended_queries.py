@@ -171,7 +171,7 @@ def d29(spark, d):
 
 @query("d46_bending_energy")
 def d46(spark, d):
-    p = embedding_image(spark, d).where("iy < 20")
+    p = embedding_image(spark, d)
     a = F.col("ix") * (2 * math.pi / 64)
     p = p.select(F.col("iy").alias("key"), F.col("ix").alias("t"), ((5 + F.col("w")) * F.cos(a)).alias("x"), ((5 + F.col("w")) * F.sin(a)).alias("y"))
     return out(X.bending_energy(p, 64, [1.0, 2.0, 4.0]), "key", "scale", energy="energy")
