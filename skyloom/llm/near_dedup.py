@@ -1,10 +1,12 @@
 """Near-duplicate grouping: SuperMinHash signatures, banding, exact verification, union of links.
 
-Recall of banding: 32 bands of 8 rows miss a pair at the threshold 0.85 with probability 4e-5 and a closer
-pair far more rarely; whatever shares a band is decided on full shingle sets, so no false link is returned.
-Candidates are unlimited. Within a band's bucket every member is first compared with the bucket's smallest
-id; members whose components then still differ are compared with one another unless an exact bound already
-rules the pair out.
+Recall of banding at the threshold: 32 bands of 8 rows miss a pair of similarity 0.85 with probability 4e-5, 36 bands
+of 7 one of 0.8 with 2e-4; closer pairs are missed far more rarely. Whatever shares a band is decided on full shingle
+sets, so no false link is returned. Candidates are unlimited. Within a band's bucket every member is first compared
+with the bucket's smallest id. Members whose components then still differ are compared with one another where the
+prefixes of their sets meet: with the shingles of all of them in one order, the rarest first, two sets A and B with
+|A n B| >= t |A u B| have at least t |A| shingles in common, so the first |A| - ceil(t |A|) + 1 of A and the like of B
+share one. That bound is exact, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -17,8 +19,11 @@ from . import kernels as K
 from .graph import components
 from .store import written
 
-SLOTS, BANDS, ROWS = 256, 32, 8
-NUM, DEN = 85, 100
+SLOTS = 256
+#: Similarity in hundredths, bands and rows of a band, if nothing else is asked for.
+SIMILARITY, BANDS, ROWS = 80, 36, 7
+#: Documents of one prefix shingle in one group of the search among members whose components differ.
+SALTED = 256
 
 
 def super_minhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -50,14 +55,14 @@ def super_minhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return sig.reshape(n, SLOTS)
 
 
-def bands_of(sig: np.ndarray) -> np.ndarray:
+def bands_of(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band; the band's number is part of it."""
     with np.errstate(over="ignore"):
-        x = sig.reshape(len(sig), BANDS, ROWS)
-        key = np.zeros((len(sig), BANDS), np.uint64)
-        for i in range(ROWS):
+        x = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+        key = np.zeros((len(sig), bands), np.uint64)
+        for i in range(rows):
             key = K.mix(key + x[:, :, i] * K._STEPS[i])
-        return K.mix(key + np.arange(BANDS, dtype=np.uint64) * K._STEPS[50])
+        return K.mix(key + np.arange(bands, dtype=np.uint64) * K._STEPS[50])
 
 
 def _sets(column: pa.Array):
@@ -82,15 +87,18 @@ def _lists(x: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), _long(x))
 
 
-def _signatures(batches):
-    for batch in batches:
-        for a, b, s, begin in _sets(batch.column(1)):
-            d1, d2 = _digest(s, begin)
-            keys = bands_of(super_minhash(s, begin))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), _long(d1), _long(d2), _lists(keys.ravel(), np.arange(b - a + 1) * BANDS)],
-                ["doc_id", "n_shingles", "d1", "d2", "bands"],
-            )
+def _signatures(bands: int, rows: int):
+    def f(batches):
+        for batch in batches:
+            for a, b, s, begin in _sets(batch.column(1)):
+                d1, d2 = _digest(s, begin)
+                keys = bands_of(super_minhash(s, begin), bands, rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), _long(d1), _long(d2), _lists(keys.ravel(), np.arange(b - a + 1) * bands)],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                )
+
+    return f
 
 
 def _full_sets(batches):
@@ -106,8 +114,27 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row: documents linked when 100 * |A n B| >= 85 * |A u B|.
+def _meeting_prefixes(sets: DataFrame, comps: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of different components in comps (id, comp) whose prefixes share a shingle and whose sizes allow the similarity.
+
+    Shingles that one set alone has come first in its prefix and meet nothing. A shingle of many sets is dealt over
+    salted groups, so no task holds all sets of one shingle.
+    """
+    crowd = written(sets.join(comps, "id").select("id", "comp", "n", F.explode("s").alias("h")), "crowd")
+    common = written(crowd.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "common")
+    ranked = crowd.join(common, "h", "left").groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "h"))).alias("x"))
+    prefix = F.expr(f"slice(x, 1, cast(n - ceil({similarity} * n / 100) + 1 AS int))")
+    first = written(ranked.select("id", "comp", "n", F.explode(prefix).alias("x")).where("x.k > 1").select("id", "comp", "n", "x.h"), "prefixes")
+    groups = written(first.groupBy("h").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("groups"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "groups"), "groups")
+    dealt = first.join(groups, "h")
+    x = dealt.select("h", F.pmod("id", "groups").cast("int").alias("salt"), *[F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n")])
+    y = dealt.select("h", F.explode(F.expr("sequence(0, groups - 1)")).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n")])
+    met = x.join(y, ["h", "salt"]).where(f"id_x < id_y AND comp_x <> comp_y AND 100 * least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)")
+    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row: documents linked when 100 * |A n B| >= similarity * |A u B|.
 
     Null and empty texts and texts without words have n_shingles 0 and are linked with nothing. Equal sets
     share a class and are linked once. A row with a null id has a null component and is kept. Rows that
@@ -115,13 +142,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     it in comparisons. Other columns of `docs` are not read. An empty table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(src.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sig")
+    sig = written(src.mapInArrow(_signatures(bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sig")
     classes = written(
         sig.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
     )
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    members = written(keyed.join(shared, "key").select("key", "pivot", "c", "rep"), "members")
+    # Written, so that the join below has a plain exchange on each side and a hot key's part can be split.
+    shared = written(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("c")).where("c > 1"), "shared")
+    members = written(keyed.join(shared, "key").select("key", "pivot", "rep"), "members")
     wanted = members.select("rep").distinct()
     sets = written(
         src.join(wanted.withColumnRenamed("rep", "doc_id").hint("shuffle_merge"), "doc_id", "left_semi")
@@ -129,31 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("id").agg(F.max(F.struct("n", "s")).alias("x")).select("id", "x.n", "x.s"),
         "sets",
     )
-    stars = written(_verified(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets), "stars")
-    linked = f"{DEN + NUM} * both >= {NUM} * (na + nb)"  # 100 * both >= 85 * union
-    near = stars.where(linked)
+    linked = f"{100 + similarity} * both >= {similarity} * (na + nb)"  # 100 * both >= similarity * union
+    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    near = written(_verified(stars, sets).where(linked).select("a", "b"), "near")
     first = components(near)
-    # Members of a bucket whose components differ. away: size of the symmetric difference with the pivot's set;
-    # own: shingles that neither another such document nor a pivot has. |X ^ Y| >= away_x + away_y - 2 min(away_x - own_x, away_y - own_y).
-    whole = (
-        members.join(first.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "na", "nb", "both"), ["pivot", "rep"], "left")
-        .withColumn("comp", F.coalesce("component", "rep"))
-    )
-    mixed = whole.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = written(
-        whole.join(mixed, "key").where("c > 2 AND rep <> pivot").select("key", "c", "pivot", "rep", "comp", F.col("nb").alias("n"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("away")), "rest"
-    )
-    crowd = sets.join(rest.where("c > 16").select(F.explode(F.array("pivot", "rep")).alias("id")).distinct(), "id", "left_semi")
-    own = crowd.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k = 1").groupBy("rep").agg(F.count("*").alias("own"))
-    bound = rest.join(own, "rep", "left").select("key", "rep", "comp", "n", "away", F.when(F.col("c") > 16, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
-    x, y = (bound.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "away", "own")]) for s in "xy")
-    far = F.greatest(F.expr("away_y - away_x + 2 * own_x"), F.expr("away_x - away_y + 2 * own_y"))
-    pairs = x.join(
-        y,
-        (x.key == y.key) & F.expr("rep_x < rep_y AND comp_x <> comp_y AND 100 * least(n_x, n_y) >= 85 * greatest(n_x, n_y)") & (far * (DEN + NUM) <= (DEN - NUM) * F.expr("n_x + n_y")),
-    ).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
-    late = written(_verified(pairs.distinct(), sets).where(linked).select("a", "b"), "late")
+    whole = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    whole = written(whole.select("key", "pivot", "rep", "comp"), "placed")
+    mixed = written(whole.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi AND c > 2").select("key"), "mixed")
+    rest = whole.join(mixed, "key", "left_semi").where("rep <> pivot").select(F.col("rep").alias("id"), "comp").distinct()
+    late = written(_verified(_meeting_prefixes(sets, rest, similarity), sets).where(linked).select("a", "b"), "late")
     if late.isEmpty():
         whole_map = first
     else:

@@ -22,7 +22,6 @@ from .toxicity import score_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -30,7 +29,7 @@ def query(f):
 
 @query
 def op1_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), similarity=85, bands=32, rows=8)
 
 
 @query
