@@ -31,11 +31,14 @@ _IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _TITLES = r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.? "
-_EXTRA = (
+#: Two searches, so that a number and a run of letters and digits that overlap don't hide one another.
+_NUMBERS = (
     r"\+[0-9][\x20().0-9-]+[0-9]|[0-9](?:[\x20-]?[0-9]){13,18}+(?![0-9])"
-    r"|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
     r"|(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
     r"|(?<![0-9(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+)
+_RUNS = (
+    r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"
     r"|(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+"
     rf"|{_TITLES}\p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 )
@@ -136,12 +139,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.expr(_found(_IP, "digit AND instr(t, '.') > 0")).alias("ip"),
         F.expr(_found(_CARD, "digit")).alias("card"),
         F.expr(_found(_PHONE, "digit AND instr(t, '+') > 0")).alias("phone"),
-        F.expr(_found(_EXTRA, f"digit OR t RLIKE {_lit(_TITLES)}")).alias("extra"),
+        F.expr(_found(_NUMBERS, "digit")).alias("numbers"),
+        F.expr(_found(_RUNS, f"digit OR t RLIKE {_lit(_TITLES)}")).alias("runs"),
     )
     parts = [f"transform(filter({k}, x -> {_VALID[k]}), x -> named_struct('s', x.s, 'k', {i}, 'e', x.e, {_ballot(_lit(k))}))" for i, k in enumerate(BASE)]
     number = "CASE kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
     ballot = _let("kind", _EXTRA_KIND, f"IF(kind IS NULL, NULL, named_struct('s', x.s, 'k', {number}, 'e', x.e, {_ballot('kind')}))")
-    parts.append(f"filter(transform(extra, x -> {ballot}), x -> x IS NOT NULL)")
+    parts += [f"filter(transform({c}, x -> {ballot}), x -> x IS NOT NULL)" for c in ("numbers", "runs")]
     return rows.select("doc_id", F.expr(f"array_sort(concat({', '.join(parts)}))").alias("spans"))
 
 
@@ -149,17 +153,25 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]]) -> tuple[dict[int, float], list[float], list[float]]:
-    """EM on (kind, votes, count): each kind's share of true spans, each labeler's accuracy, each pattern's probability."""
-    prior, right = {k: 0.7 for k, _, _ in patterns}, [0.8] * len(VOTES)
+def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]]) -> tuple[dict[int, float], dict[int, list[float]], list[float]]:
+    """EM on (kind, votes, count): each kind's share of true spans, each labeler's accuracy on each kind, each pattern's probability.
+
+    A labeler's accuracy on a kind is drawn to its accuracy on all kinds as if that had been seen in 10 votes.
+    """
+    prior, right = {k: 0.7 for k, _, _ in patterns}, {k: [0.8] * len(VOTES) for k, _, _ in patterns}
     prob = [0.0] * len(patterns)
     for _ in range(EM_ROUNDS):
         for i, (k, v, _) in enumerate(patterns):
-            prob[i] = _sigmoid(math.log(prior[k] / (1 - prior[k])) + sum(x * math.log(r / (1 - r)) for x, r in zip(v, right)))
+            prob[i] = _sigmoid(math.log(prior[k] / (1 - prior[k])) + sum(x * math.log(r / (1 - r)) for x, r in zip(v, right[k])))
         for j in range(len(VOTES)):
-            cast = sum(n for _, v, n in patterns if v[j])
-            agree = sum(n * (p if v[j] > 0 else 1 - p) for (_, v, n), p in zip(patterns, prob) if v[j])
-            right[j] = min(0.98, max(0.55, (agree + 8) / (cast + 10)))
+            cast, agree = dict.fromkeys(prior, 0.0), dict.fromkeys(prior, 0.0)
+            for (k, v, n), p in zip(patterns, prob):
+                if v[j]:
+                    cast[k] += n
+                    agree[k] += n * (p if v[j] > 0 else 1 - p)
+            pooled = (sum(agree.values()) + 8) / (sum(cast.values()) + 10)
+            for k in prior:
+                right[k][j] = min(0.98, max(0.55, (agree[k] + 10 * pooled) / (cast[k] + 10)))
         for k in prior:
             total = sum(n for q, _, n in patterns if q == k)
             prior[k] = min(0.98, max(0.02, (sum(n * p for (q, _, n), p in zip(patterns, prob) if q == k) + 1) / (total + 2)))
@@ -191,10 +203,11 @@ def fit_classifier(rows: list[tuple[int, tuple[int, ...], int, int, int]]) -> li
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, personal) for each row.
 
     spans lists kind:start:end of all spans by start, then kind in the order of KINDS; offsets are code points,
-    end exclusive; base_sha256 is the hash of the base spans so listed. Null and empty texts have none.
+    end exclusive; base_sha256 is the hash of the base spans so listed. n_added counts the spans of other kinds;
+    personal: any span was found. Null and empty texts have none.
     Repeated rows stay repeated; other columns are not read; an empty table gives no rows.
     """
     found = written(candidates(docs, id_col, text_col), "spans")
@@ -210,5 +223,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = [F.expr(f"cast(size(filter(spans, x -> x.k = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
     base = listed.format(f"filter(spans, x -> x.k < {len(BASE)})")
     return found.withColumn("taken", F.expr(taken)).select(
-        F.col("doc_id").cast("long").alias("doc_id"), *counts, F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(listed.format("taken")).alias("spans"), F.expr(f"cast(size(filter(taken, x -> x.k >= {len(BASE)})) AS bigint)").alias("n_added")
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), *counts, F.expr(f"sha2({base}, 256)").alias("base_sha256"), F.expr(listed.format("taken")).alias("spans"),
+        F.expr(f"cast(size(filter(taken, x -> x.k >= {len(BASE)})) AS bigint)").alias("n_added"),
+        F.expr("size(taken) > 0").alias("personal"),
+    )
