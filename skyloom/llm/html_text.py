@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. Pass 1 decides a block by where it stands (inside an element that
 is boilerplate by name or class) and else by its length, link density and stop-word density, on pages with and
 without an article element. Pass 2 gives each block left undecided the label of its nearest decided neighbours;
-inside an article element that holds the page's prose it is kept.
+inside an article element that holds the page's prose the neighbours are those inside, and it is kept where there are none.
 """
 
 from __future__ import annotations
@@ -162,21 +162,19 @@ def decide(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     Length, link density and stop words are read on every page. Article elements are a prior for what these leave
     open, unless long prose stands outside of them only: then they are teasers, and blocks inside count as others.
     """
-    marks, dense = [], []
+    marks = []
     for text, linked, bad, _ in found:
         words = text.split()
         density, stops = linked / max(1, len(text)), sum(w.strip(".,;:!?").lower() in STOP_WORDS for w in words) / max(1, len(words))
-        dense.append(density > LINKY)
         prose = (len(words) >= LONG and stops >= STOPPY) or len(words) >= VERY_LONG
-        marks.append(BAD if bad or dense[-1] else GOOD if prose else OPEN)
+        marks.append(BAD if bad or density > LINKY else GOOD if prose else OPEN)
     inside = [x[3] and not x[2] for x in found]
     prose_in, prose_out = (any(m == GOOD and i == where for m, i in zip(marks, inside)) for where in (True, False))
     if not any(inside) or (prose_out and not prose_in):
         return [m == GOOD for m in _settled(marks, GOOD)]
-    marks = [(OPEN if d else GOOD) if i else m for m, d, i in zip(marks, dense, inside)]
     outer = iter(_settled([m for m, i in zip(marks, inside) if not i], BAD))
-    marks = [m if i else next(outer) for m, i in zip(marks, inside)]
-    return [m == GOOD for m in _settled(marks, GOOD)]
+    inner = iter(_settled([m for m, i in zip(marks, inside) if i], GOOD))
+    return [next(inner if i else outer) == GOOD for i in inside]
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
