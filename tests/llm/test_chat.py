@@ -1,4 +1,8 @@
+import duckdb
+import pandas as pd
+
 from skyloom.llm import chat as C
+from skyloom.llm.oracle import CHAT
 
 CONV = [
     (1, 0, "user", "Hello all.\nWhich filter is best?"),
@@ -22,7 +26,7 @@ def test_links(spark):
     pick = lambda k: (got[k].reply_to, got[k].linked, got[k].thread, got[k].quote_level, got[k].n_quoted, got[k].n_found, got[k].content)
     assert pick((1, 0)) == (None, False, 0, 0, 0, 0, "Hello all.\nWhich filter is best?")
     assert pick((1, 2)) == (1, True, 0, 2, 2, 2, "Why is that so?")
-    assert pick((1, 4)) == (0, True, 4, 1, 2, 2, "I ask that too.")
+    assert pick((1, 4)) == (0, True, 4, 1, 1, 1, "I ask that too.")
     assert pick((1, 5)) == (4, False, 4, 0, 0, 0, "Fine.")
     assert pick((1, 6)) == (5, False, 4, 1, 1, 0, "Hm.")
     assert pick((2, 0)) == (None, False, 0, 1, 1, 0, "What?")
@@ -48,3 +52,52 @@ def test_interleaved_threads(spark):
     got = C.in_reply_order(C.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert [(r.thread, r.turn) for r in got if r.conv_id == 1] == [(0, 0), (0, 1), (0, 3), (0, 5), (0, 6), (2, 2), (2, 4), (2, 7)]
     assert [(r.thread, r.turn) for r in got if r.conv_id == 2] == [(0, 0), (0, 1), (0, 2), (0, 3), (4, 4), (4, 5), (4, 7), (6, 6)]
+
+
+def test_quotations_wrapped_anew_and_in_part(spark):
+    rows = [
+        (1, 0, "user", "The first paragraph is long enough\nto be broken over two lines. It has a second sentence.\n\nAnother one follows."),
+        (1, 2, "user", "No."),
+        (1, 5, "user", "x" * 300 + " wrote at length, and later than " + "y" * 200 + ":\n> The first paragraph is\n> long enough to be broken over two lines. It has a\n> second sentence.\nAgreed."),
+        (1, 6, "user", "> It has a second sentence.\nSo it has."),
+        (1, 9, "user", "> nobody said that\n>> No.\nHm."),
+        (1, 11, "user", "last"),
+    ]
+    got = {r.turn: r for r in C.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].reply_to for t in sorted(got)] == [None, 0, 0, 0, 2, 9]
+    assert (got[5].n_quoted, got[5].n_found, got[5].content) == (1, 1, "Agreed.")
+    assert (got[9].n_quoted, got[9].n_found, got[9].quote_level) == (2, 1, 2)
+
+
+def test_very_long_text(spark):
+    text = "\n".join(f"> line {i} of the text" for i in range(30000))
+    rows = [(1, 0, "user", "\n".join(f"line {i} of the text" for i in range(30000))), (1, 1, "user", "no"), (1, 2, "user", text + "\nyes")]
+    got = {r.turn: r for r in C.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[2].reply_to, got[2].content, got[2].n_quoted, got[2].n_found) == (0, "yes", 1, 1)
+
+
+def test_sql_gives_the_same_on_planted_quotations(spark):
+    import random
+
+    rng, rows = random.Random(11), []
+    for conv in range(60):
+        said = []
+        for turn in sorted(rng.sample(range(40), rng.randrange(1, 14))):
+            own = " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "!\nAnd more. Yes", "\n\nanother part"])
+            quote = ""
+            if said and rng.random() < 0.6:
+                mark = rng.choice(["> ", ">", "> > "])
+                quote = rng.choice(["", "Ann wrote:\n"]) + "\n".join(mark + x for x in rng.choice(said).split("\n")) + "\n"
+            said.append(own)
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), quote + own))
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    got = C.in_reply_order(C.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    con = duckdb.connect()
+    con.register("conversations", frame)
+    cur = con.execute(CHAT)
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall(), key=lambda r: (r[0], r[1]))
+    assert sorted(names) == sorted(got[0].asDict())
+    assert sorted([tuple(r[n] for n in names) for r in got], key=lambda r: (r[0], r[1])) == want
+    assert sum(r.linked for r in got) > 100 and len({(r.conv_id, r.thread) for r in got}) > 80
+    assert [(r.conv_id, r.position) for r in got] == sorted((r.conv_id, r.position) for r in got)
