@@ -17,6 +17,8 @@ from . import kernels as K
 
 #: Documents learned from: about so many of each language at most, those of least hashed id; all of rarer ones.
 PER_LANGUAGE = 700
+#: Bounds of the whole sample, which the driver holds (16 KB a row), and of the languages learned, the most frequent ones.
+MAX_ROWS, MAX_LANGUAGES = 4000, 200
 DIM, RIDGE, FOLDS, SHARPNESS, AMBIGUOUS = 4096, 1e-3, 3, 4.0, 0.6
 _LETTER = K.LOWER != K.SAME
 _LETTER = _LETTER | ((K._B >= 97) & (K._B <= 122))
@@ -122,10 +124,11 @@ def _featured(batches):
 
 def train(docs: DataFrame) -> Model | None:
     """Fit on rows (doc_id, text, lang) that may be learned from; None where there are none."""
-    counts = {r.lang: r.c for r in docs.groupBy("lang").agg(F.count("*").alias("c")).collect()}
+    counts = {r.lang: r.c for r in docs.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, min(1.0, PER_LANGUAGE / c))])
+    each = min(PER_LANGUAGE, MAX_ROWS // len(counts))
+    share = F.create_map(*[F.lit(v) for k, c in counts.items() for v in (k, min(1.0, each / c))])
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * float(1 << 20))
     rows = chosen.select("lang", "text").mapInArrow(_featured, "lang string, x binary, ok boolean").where("ok").collect()
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
@@ -137,7 +140,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, held_out, lang_pred, score, ambiguous) for each row.
 
     Learned from rows with a language whose crc32(id as text) mod 5 isn't 0; rows with a null id count as held
-    out. `und` with score 0 if the text is null or has no letter, or if there was nothing to learn from.
+    out. `und` with score 0 if the text is null or has no letter, or if there was nothing to learn from. If only one
+    language was learned, it is every other text's. Of more than MAX_LANGUAGES the most frequent ones are learned.
     Repeated rows stay repeated; other columns are not read; an empty table gives no rows.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))

@@ -2,7 +2,8 @@
 
 Categories are predicted in order. Each one's linear model (ridge logistic regression) sees which telling words
 and beginnings of words a text has, a few rates, and the probabilities of all earlier categories. Later models are trained on
-out-of-fold probabilities of the earlier ones, so they meet the same kind of numbers as in use.
+out-of-fold probabilities of the earlier ones, so they meet the same kind of numbers as in use. CHAIN holds what the
+given labels have: low quality, which is no toxicity category but the only other label, and then toxic.
 """
 
 from __future__ import annotations
@@ -118,7 +119,9 @@ def _telling(h: np.ndarray, row: np.ndarray, y: np.ndarray, w: np.ndarray) -> np
 
 
 def _cutoff(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Between the two neighbouring scores where F0.5 is best: a false alarm costs a clean document."""
+    """Between the two neighbouring scores where F0.5 is best: a false alarm costs a clean document. Without positive labels 1, which no score exceeds."""
+    if not (w * y).any():
+        return 1.0
     order = np.argsort(-p, kind="stable")
     tp, fp = np.cumsum((w * y)[order]), np.cumsum((w * (1 - y))[order])
     f = 1.25 * tp / (1.25 * tp + 0.25 * ((w * y).sum() - tp) + fp + 1e-9)
@@ -180,7 +183,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str
 
     toxic: the last category's probability is over its cutoff. A null text is empty; a text without words is
     never toxic. Labels that repeat for an id count as positive if any is. Without labels all probabilities
-    are 0. Repeated rows stay repeated; an empty table gives no rows.
+    are 0; without a positive label of the last category no document is toxic. Repeated rows stay repeated; an empty table gives no rows.
     """
     src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     model = train(src.where("doc_id IS NOT NULL"), labels, chain)
