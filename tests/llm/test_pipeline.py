@@ -62,3 +62,28 @@ def test_all_stages_on_an_empty_table(spark, tmp_path):
     for name, stage in P.STAGES:
         docs = written(stage(spark, docs, str(tmp_path)), name)
         assert docs.count() == 0
+
+
+def test_repeated_ids_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    corpus(spark, str(tmp_path))
+    say = lambda a: " ".join(f"{a}{i}" for i in range(50))
+    rows = [(1, say("a")), (1, say("b")), (1, say("b")), (2, say("a") + " end"), (None, say("c")), (None, say("c")), (3, None), (3, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1, "x", {"k": 1}, 5) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, hits string, m map<string, int>, _row long")
+    left = P.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns
+    got = [(r.doc_id, (r.text or "-")[0], r.m, r._row) for r in left.collect()]
+    assert sorted(x[1] for x in got) == ["-", "-", "a", "b", "c"] and all(x[2] == {"k": 1} and x[3] == 5 for x in got)
+    clean = P.drop_contaminated(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and {r.hits for r in clean.collect()} == {"x"} and clean.count() == len(rows)
+
+
+def test_near_duplicates_of_similarity_80(spark, tmp_path):
+    import corpus_pipeline as P
+
+    corpus(spark, str(tmp_path))
+    w = [f"w{i}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:82])), (3, " ".join(w[:75]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()) == [1]
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs.where("doc_id <> 2"), str(tmp_path)).collect()) == [1, 3]
