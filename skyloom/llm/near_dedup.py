@@ -6,7 +6,8 @@ sets, so no false link is returned. Candidates are unlimited. Within a band's bu
 with the bucket's smallest id. Members whose components then still differ are compared with one another where the
 prefixes of their sets meet: with the shingles of all of them in one order, the rarest first, two sets A and B with
 |A n B| >= t |A u B| have at least t |A| shingles in common, so the first |A| - ceil(t |A|) + 1 of A and the like of B
-share one. That bound is exact, whatever the bucket's size.
+share one. The smaller set of a pair needs only its first |A| - ceil(2 t / (1 + t) |A|) + 1, and where the first
+common shingle stands in both bounds what can follow. These bounds are exact, whatever the bucket's size.
 """
 
 from __future__ import annotations
@@ -115,22 +116,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _meeting_prefixes(sets: DataFrame, comps: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of different components in comps (id, comp) whose prefixes share a shingle and whose sizes allow the similarity.
+    """Pairs (a, b) of different components in comps (id, comp) whose prefixes share a shingle and for which sizes and its places allow the similarity.
 
-    Shingles that one set alone has come first in its prefix and meet nothing. A shingle of many sets is dealt over
+    Of a pair, x is the smaller set (then the smaller id). At the first shingle that both have, in the common order,
+    the intersection is at most 1 + the lesser number of shingles that follow; so every pair that is similar enough
+    passes there, if not at a later shingle. Shingles that one set alone has come first in its prefix and meet nothing. A shingle of many sets is dealt over
     salted groups, so no task holds all sets of one shingle.
     """
     crowd = written(sets.join(comps, "id").select("id", "comp", "n", F.explode("s").alias("h")), "crowd")
     common = written(crowd.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "common")
     ranked = crowd.join(common, "h", "left").groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "h"))).alias("x"))
     prefix = F.expr(f"slice(x, 1, cast(n - ceil({similarity} * n / 100) + 1 AS int))")
-    first = written(ranked.select("id", "comp", "n", F.explode(prefix).alias("x")).where("x.k > 1").select("id", "comp", "n", "x.h"), "prefixes")
+    first = ranked.select("id", "comp", "n", F.posexplode(prefix).alias("place", "x")).where("x.k > 1").select("id", "comp", "n", (F.col("n") - F.col("place")).alias("left"), "x.h")
+    first = written(first, "prefixes")  # left: this shingle and those that follow
+    short = first.where(f"left >= ceil({2 * similarity} * n / {100 + similarity})")
     groups = written(first.groupBy("h").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("groups"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h", "groups"), "groups")
-    dealt = first.join(groups, "h")
-    x = dealt.select("h", F.pmod("id", "groups").cast("int").alias("salt"), *[F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n")])
-    y = dealt.select("h", F.explode(F.expr("sequence(0, groups - 1)")).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n")])
-    met = x.join(y, ["h", "salt"]).where(f"id_x < id_y AND comp_x <> comp_y AND 100 * least(n_x, n_y) >= {similarity} * greatest(n_x, n_y)")
-    return met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    kept = ("id", "comp", "n", "left")
+    x = short.join(groups, "h").select("h", F.pmod("id", "groups").cast("int").alias("salt"), *[F.col(c).alias(f"{c}_x") for c in kept])
+    y = first.join(groups, "h").select("h", F.explode(F.expr("sequence(0, groups - 1)")).alias("salt"), *[F.col(c).alias(f"{c}_y") for c in kept])
+    met = x.join(y, ["h", "salt"]).where(
+        f"(n_x < n_y OR (n_x = n_y AND id_x < id_y)) AND comp_x <> comp_y AND 100 * n_x >= {similarity} * n_y AND {100 + similarity} * least(left_x, left_y) >= {similarity} * (n_x + n_y)"
+    )
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
