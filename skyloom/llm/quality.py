@@ -219,9 +219,9 @@ def _grid_steps(rows: DataFrame) -> dict[str, dict[tuple[str, str], list[tuple[f
     offsets = spark.createDataFrame(before, "stratum string, metric string, part int, n0 long, good0 long")
     ranks = spark.createDataFrame(sorted({(st, m, i) for (st, m, _), r in wanted.items() for i in r}), "stratum string, metric string, i long")
     upto = Window.partitionBy("stratum", "metric", "part").orderBy("v")
-    at = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("good_upto", F.sum("good").over(upto)).join(offsets, ["stratum", "metric", "part"])
+    at = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("good_upto", F.sum("good").over(upto)).join(_small(offsets, len(before)), ["stratum", "metric", "part"])
     at = at.select("stratum", "metric", "v", "n", "good", (F.col("n0") + F.col("upto")).alias("upto"), (F.col("good0") + F.col("good_upto")).alias("good_upto"))
-    at = at.join(ranks, ["stratum", "metric"]).where("i < upto AND i >= upto - n")
+    at = at.join(_small(ranks, len(total) * 2 * len(GRID)), ["stratum", "metric"]).where("i < upto AND i >= upto - n")
     value = {(r.stratum, r.metric, r.i): r for r in at.collect()}
     out: dict = {}
     for (st, metric, side), places in wanted.items():
@@ -240,6 +240,11 @@ def _tabled(spark, lists: dict[str, list[tuple[str, str, float]]]) -> DataFrame:
     return spark.createDataFrame(rows, "stratum string, cuts array<struct<m: int, sign: double, cut: double>>")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` marked for broadcast if its rows, which the driver has counted, are few."""
+    return F.broadcast(df) if rows <= 20_000 else df
+
+
 _OVER = f"c -> c.sign * element_at(array({', '.join(_RATES)}), c.m) > c.sign * c.cut"
 
 
@@ -256,10 +261,10 @@ def cutoffs_of(sample: DataFrame, alpha: float = ALPHA, delta: float = DELTA) ->
         return []
     spark = sample.sparkSession
     known = spark.createDataFrame([(st,) for st in sorted(n_good)], "stratum string")
-    paths = {st: path_of(steps) for st, steps in _grid_steps(rows.where("tuning").join(known, "stratum", "left_semi")).items()}
+    paths = {st: path_of(steps) for st, steps in _grid_steps(rows.where("tuning").join(_small(known, len(n_good)), "stratum", "left_semi")).items()}
     if not paths:
         return []
-    hits = rows.where("NOT tuning AND good = 1").join(_tabled(spark, paths), "stratum")
+    hits = rows.where("NOT tuning AND good = 1").join(_small(_tabled(spark, paths), len(paths)), "stratum")
     hits = hits.select("stratum", F.expr(f"array_position(transform(cuts, {_OVER}), true)").alias("first")).where("first > 0").groupBy("stratum", "first").count().collect()
     first: dict = {}
     for r in hits:
@@ -285,6 +290,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for st, *cut in cuts:
         lists.setdefault(st, []).append(tuple(cut))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = all_docs.withColumn("base_failed", failed).join(_tabled(docs.sparkSession, lists), "stratum", "left")
+    out = all_docs.withColumn("base_failed", failed).join(_small(_tabled(docs.sparkSession, lists), len(lists)), "stratum", "left")
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.expr(f"exists(cuts, {_OVER})"), F.lit(False)))
     return out.select("doc_id", *_NAMES, "base_failed", "kept", "stratum", *_RATES, F.coalesce(F.array_size("cuts"), F.lit(0)).cast("long").alias("n_cutoffs"))
