@@ -19,12 +19,40 @@ from .graph import written
 def nearest_distances(a: DataFrame, b: DataFrame, columns: list[str], k: int, same: bool) -> DataFrame:
     """(id, d): distance of each row of `a` to its k-th nearest row of `b` (columns id, *columns); `same` leaves out the row itself.
 
-    `b` is a sample of one region; its size is checked by the caller.
+    A search on cells: every row meets the rows of the cells around its own, and its answer is final if the k-th of
+    these is no further off than a cell is wide. The others go on with cells of twice the width. d is null if `b` has
+    too few rows.
     """
-    o = F.broadcast(b.select(F.col("id").alias("_o"), *[F.col(c).alias(f"_{c}") for c in columns]))
-    d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns), F.lit(0.0)))
-    p = a.join(o, F.col("id") != F.col("_o")) if same else a.join(o, F.lit(True))
-    return p.groupBy("id").agg(F.element_at(F.slice(F.array_sort(F.collect_list(d)), k, 1), 1).alias("d"))
+    dim = len(columns)
+    ends = b.agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).collect()[0]
+    if ends.n < k + same:
+        return a.select("id", F.lit(None).cast("double").alias("d"))
+    span = max(ends[f"hi_{c}"] - ends[f"lo_{c}"] for c in columns)
+    width = span / max(1.0, (ends.n / (2.0 * k)) ** (1 / dim)) or 1.0
+    steps = [()]
+    for _ in columns:
+        steps = [(*s, i) for s in steps for i in (-1, 0, 1)]
+    around = F.array(*[F.array(*[F.lit(i).cast("long") for i in s]) for s in steps])
+    other = b.select(F.col("id").alias("_o"), *[F.col(c).cast("double").alias(f"_{c}") for c in columns])
+    left, done = a.select("id", *columns), []
+    while True:
+        cell = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
+        x = left.select("id", *columns, F.explode(around).alias("_s")).select("id", *columns, *[(cell(c) + F.col("_s")[i]).alias(f"_cell{i}") for i, c in enumerate(columns)])
+        y = other.select("*", *[cell(f"_{c}").alias(f"_cell{i}") for i, c in enumerate(columns)])
+        p = x.join(y, [f"_cell{i}" for i in range(dim)])
+        p = p.where(F.col("id") != F.col("_o")) if same else p
+        d = F.sqrt(sum((F.pow(F.col(c) - F.col(f"_{c}"), 2) for c in columns), F.lit(0.0)))
+        near = p.groupBy("id").agg(F.get(F.array_sort(F.collect_list(d)), F.lit(k - 1)).alias("d"))
+        found = written(left.join(near, "id", "left").withColumn("final", F.coalesce(F.col("d") <= width, F.lit(False))), "nearest")
+        done.append(found.where("final").select("id", "d"))
+        left = found.where("NOT final").select("id", *columns)
+        if left.isEmpty():
+            break
+        width *= 2
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _ball(m: int) -> float:

@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, functions as F
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: a Parquet table in the folder of spark.checkpoint.dir, which all executors share."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/checkpoints"
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

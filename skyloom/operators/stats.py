@@ -125,11 +125,12 @@ def clipped(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds
     """(keys, n, mean, median, rms) after clipping |x - median| < k rms again and again.
 
     A group stops when its rms changes by at most `tol` of itself, or after `rounds`. The state is a small table
-    of groups; the values are read once a round, and only the groups that still move take part.
+    of groups; the values are read once a round, and only the groups that still move take part. Groups are tiles or
+    sources of bounded size; without keys the medians are those of `quantile`, so no task holds the table.
     """
+    if not keys:
+        return _clipped_whole(df, w, k, rounds, tol)
     stat = lambda d: d.groupBy(*keys).agg(F.count(w).alias("n"), F.avg(w).alias("mean"), F.percentile(w, 0.5).alias("median"), F.stddev_samp(w).alias("rms"))
-    df = df.withColumn("_all", F.lit(0)) if not keys else df
-    keys = keys or ["_all"]
     state = stat(df).withColumn("done", F.lit(False))
     for _ in range(rounds):
         s = state.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("n", "mean", "median", "rms", "done")])
@@ -140,7 +141,23 @@ def clipped(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds
         still = ~keep & (F.abs(F.col("rms") - F.col("_rms")) / F.col("_rms") > tol)
         state = j.select(*keys, *[F.when(keep, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("n", "mean", "median", "rms")], (~F.coalesce(still, F.lit(False))).alias("done"))
         state = written(state, "clipped")
-    return state.drop("done", "_all")
+    return state.drop("done")
+
+
+def _clipped_whole(df: DataFrame, w: str, k: float, rounds: int, tol: float) -> DataFrame:
+    def stat(d):
+        r = d.agg(F.count(w).alias("n"), F.avg(w).alias("mean"), F.stddev_samp(w).alias("rms")).collect()[0]
+        return (r.n, r["mean"], quantile(d, w, [0.5])[0] if r.n else None, r.rms)
+
+    now = stat(df)
+    for _ in range(rounds if now[0] else 0):
+        new = stat(df.where(F.abs(F.col(w) - now[2]) < k * now[3])) if now[3] is not None else (0,)
+        if not new[0]:
+            break
+        before, now = now, new
+        if now[3] is None or not abs(now[3] - before[3]) / before[3] > tol:
+            break
+    return df.sparkSession.createDataFrame([now], "n long, mean double, median double, rms double")
 
 
 def clipped_tiles(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0, rounds: int = 100, tol: float = 0.1) -> DataFrame:
@@ -167,9 +184,13 @@ def clipped_tiles(df: DataFrame, keys: list[str], w: str = "w", k: float = 3.0,
 
 
 def biweight(df: DataFrame, keys: list[str], w: str = "w", c: float = 6.0, rounds: int = 10, tol: float = 1e-4) -> DataFrame:
-    """(keys, n, location, scale): Tukey's biweight from the median and MAD on, at most `rounds` steps."""
-    df = df.withColumn("_all", F.lit(0)) if not keys else df
-    names = keys or ["_all"]
+    """(keys, n, location, scale): Tukey's biweight from the median and MAD on, at most `rounds` steps.
+
+    Groups are tiles or sources of bounded size. Without keys every step is one aggregate of the table.
+    """
+    if not keys:
+        return _biweight_whole(df, w, c, rounds, tol)
+    names = keys
     schema = StructType([*[df.schema[k] for k in names], StructField("n", LongType()), StructField("location", DoubleType()), StructField("scale", DoubleType())])
 
     def one(pdf):
@@ -194,7 +215,26 @@ def biweight(df: DataFrame, keys: list[str], w: str = "w", c: float = 6.0, round
                 break
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in names], len(x), loc, scale]], columns=[*names, "n", "location", "scale"])
 
-    return df.groupBy(*names).applyInPandas(one, schema).drop("_all")
+    return df.groupBy(*names).applyInPandas(one, schema)
+
+
+def _biweight_whole(df: DataFrame, w: str, c: float, rounds: int, tol: float) -> DataFrame:
+    n = df.where(F.col(w).isNotNull()).count()
+    loc, scale = median_mad(df, w)
+    for _ in range(rounds if n else 0):
+        if scale == 0:
+            break
+        d = F.col(w) - loc
+        u2 = (d / (c * scale)) * (d / (c * scale))
+        g = 1 - u2
+        r = df.where(u2 <= 1).agg(F.sum(d * g * g).alias("a"), F.sum(g * g).alias("b"), F.sum(d * d * F.pow(g, 4)).alias("s"), F.sum(g * (1 - 5 * u2)).alias("den")).collect()[0]
+        new, den = loc + r.a / r.b, abs(r.den)
+        after = (n * r.s) ** 0.5 / den if den > 1 else scale
+        moved = abs(new - loc), abs(after - scale) / scale
+        loc, scale = new, after
+        if moved[1] <= tol and moved[0] <= tol * scale:
+            break
+    return df.sparkSession.createDataFrame([(n, loc, scale)], "n long, location double, scale double")
 
 
 def histogram(df: DataFrame, n: int, w: str = "w") -> DataFrame:
@@ -243,18 +283,34 @@ def optimal_threshold(df: DataFrame, factor: float, n: int, w: str = "w") -> Dat
 
 
 def cumulative_threshold(df: DataFrame, fraction: float, w: str = "w") -> DataFrame:
-    """(threshold): the least value at which the running sum of the sorted positive values reaches a fraction of their sum.
+    """(threshold): the least value at which the running sum of the sorted positive values reaches a fraction of their sum; null without positive values.
 
-    The running sum is taken over 4,096 equal ranges of values and then inside the one that crosses.
+    The running sum is taken over 4,096 equal ranges of values, then inside the one that crosses, and so on until
+    that holds few distinct values; so a heavy tail costs rounds, not memory.
     """
-    v = df.where(F.col(w) > 0).select(F.col(w).alias("v"))
-    r = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("total"))
-    v = v.crossJoin(F.broadcast(r)).withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4095)).otherwise(0))
-    parts = v.groupBy("b").agg(F.sum("v").alias("s"), F.first("total").alias("total"))
-    run = parts.withColumn("upto", F.sum("s").over(Window.orderBy("b")))
-    cross = run.where(F.col("upto") >= fraction * F.col("total") * (1 - 1e-12)).orderBy("b").limit(1).select("b", (F.col("upto") - F.col("s")).alias("before"))
-    inside = v.join(F.broadcast(cross), "b").withColumn("upto", F.col("before") + F.sum("v").over(Window.orderBy("v")))
-    return inside.where(F.col("upto") >= fraction * F.col("total") * (1 - 1e-12)).agg(F.min("v").alias("threshold"))
+    v = df.where((F.col(w) > 0) & ~F.isnan(w)).select(F.col(w).cast("double").alias("v"))
+    lo, hi, total = v.agg(F.min("v"), F.max("v"), F.sum("v")).collect()[0]
+    out = lambda x: df.sparkSession.createDataFrame([(x,)], "threshold double")
+    if total is None:
+        return out(None)
+    goal, before = fraction * total * (1 - 1e-12), 0.0
+    while True:
+        b = F.least(F.lit(4095), F.floor((F.col("v") - lo) / (hi - lo) * 4096)) if hi > lo else F.lit(0)
+        inside = v.where(F.col("v").between(lo, hi))
+        parts = sorted(inside.groupBy(b.alias("b")).agg(F.sum("v"), F.min("v"), F.max("v"), F.approx_count_distinct("v")).collect())
+        for _, s, least, most, values in parts:
+            if before + s >= goal:
+                break
+            before += s
+        if least == most:
+            return out(least)
+        if values <= COLLECT // 2 or (least, most) == (lo, hi):
+            for x, s in sorted(v.where(F.col("v").between(least, most)).groupBy("v").agg(F.sum("v")).collect()):
+                before += s
+                if before >= goal:
+                    break
+            return out(x)
+        lo, hi = least, most
 
 
 def pagerank(edges: DataFrame, d: float = 0.85, tol: float = 1e-4, rounds: int = 1000) -> DataFrame:
@@ -277,3 +333,48 @@ def pagerank(edges: DataFrame, d: float = 0.85, tol: float = 1e-4, rounds: int =
         if moved < tol:
             return rank
     raise RuntimeError("PageRank did not converge")
+
+
+def nearest_mean(queries: DataFrame, rows: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """(id, d): mean distance of each query (id, e) to its k nearest rows (id, e) of another id; e are arrays of doubles of one length.
+
+    Exact. Queries go through all rows in blocks of about `block`; a partition keeps k rows for each query.
+    """
+    n = queries.count()
+    found = None
+    for i in range(-(-n // block)):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(-(-n // block))) == i).select("id", "e").collect()
+        if not part:
+            continue
+        near = rows.select("id", "e").mapInArrow(_nearest_rows([r.id for r in part], [list(r.e) for r in part], k), "id long, d double, o long")
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return queries.select("id", F.lit(None).cast("double").alias("d"))
+    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "o"))), 1, k).alias("near"))
+    return best.select("id", (F.aggregate("near", F.lit(0.0), lambda a, x: a + x["d"]) / F.size("near")).alias("d"))
+
+
+def _nearest_rows(ids: list[int], points: list[list[float]], k: int):
+    def f(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        q, mine = np.array(points, float), np.array(ids, np.int64)
+        best_d, best_o = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, 256)
+                at += 256
+                other = part.column(0).to_numpy(zero_copy_only=False)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(other), -1)
+                d = np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+                d[mine[:, None] == other[None, :]] = np.inf
+                all_d = np.concatenate([best_d, d], axis=1)
+                all_o = np.concatenate([best_o, np.broadcast_to(other, d.shape)], axis=1)
+                order = np.lexsort((all_o, all_d), axis=1)[:, :k]
+                best_d, best_o = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_o, order, 1)
+        ok = np.isfinite(best_d)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, k)[ok.ravel()]), pa.array(best_d[ok]), pa.array(best_o[ok])], ["id", "d", "o"])
+
+    return f

@@ -20,7 +20,8 @@ from .registry import query
 from .stats_queries import GLOBAL, IMG, R, out, r, rs
 
 # --- information ----------------------------------------------------------------------------------------------------------
-_PT = "a AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id < 200), b AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings WHERE vec_id >= 200 AND vec_id < 500)"
+#: Two samples of the whole table: the vectors' first two numbers and their next two.
+_PT = "a AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), b AS (SELECT vec_id AS id, embedding[3]::DOUBLE AS x, embedding[4]::DOUBLE AS y FROM embeddings), c AS (SELECT count(*) AS n FROM embeddings)"
 
 
 def _knn(name: str, other: str, same: bool) -> str:
@@ -28,21 +29,21 @@ def _knn(name: str, other: str, same: bool) -> str:
 
 
 def _points(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return e.where("id < 200"), e.where("id >= 200 AND id < 500")
+    e = table(spark, d, "embeddings")
+    return [e.select(F.col("vec_id").alias("id"), F.col("embedding")[i].cast("double").alias("x"), F.col("embedding")[i + 1].cast("double").alias("y")) for i in (0, 2)]
 
 
-@query("a43_entropy", f"WITH {_PT}, {_knn('k', 'a', True)} SELECT {r(f'avg(ln(d)) * 2 + {math.log(math.pi)!r} + {X._digamma(200) - X._digamma(3)!r}')} AS h FROM k")
+@query("a43_entropy", f"WITH {_PT}, {_knn('k', 'a', True)}, s AS (SELECT sum(1.0 / v) AS h FROM (SELECT unnest(range(1, n)) AS v FROM c)) SELECT {r(f'avg(ln(d)) * 2 + {math.log(math.pi)!r} - 0.5772156649015329 + any_value(h) - {X._digamma(3)!r}')} AS h FROM k, s")
 def a43(spark, d):
     return out(X.entropy(_points(spark, d)[0], ["x", "y"]), h="h")
 
 
-@query("a44_cross_entropy", f"WITH {_PT}, {_knn('k', 'b', False)} SELECT {r(f'avg(ln(d)) * 2 + {math.log(math.pi)!r} + {math.log(300) - X._digamma(3)!r}')} AS h FROM k")
+@query("a44_cross_entropy", f"WITH {_PT}, {_knn('k', 'b', False)} SELECT {r(f'avg(ln(d)) * 2 + {math.log(math.pi)!r} + ln(any_value(c.n)) - {X._digamma(3)!r}')} AS h FROM k, c")
 def a44(spark, d):
     return out(X.cross_entropy(*_points(spark, d), ["x", "y"]), h="h")
 
 
-@query("a45_divergence", f"WITH {_PT}, {_knn('k', 'a', True)}, {_knn('o', 'b', False)} SELECT {r(f'avg(ln(o.d / k.d)) * 2 + {math.log(300 / 199)!r}')} AS kld FROM k JOIN o USING (id)")
+@query("a45_divergence", f"WITH {_PT}, {_knn('k', 'a', True)}, {_knn('o', 'b', False)} SELECT {r('avg(ln(o.d / k.d)) * 2 + ln(any_value(c.n) / (any_value(c.n) - 1))')} AS kld FROM k JOIN o USING (id), c")
 def a45(spark, d):
     return out(X.divergence(*_points(spark, d), ["x", "y"]), kld="kld")
 
@@ -102,10 +103,10 @@ def g30(spark, d):
     return X.occluded_regions(labelled(spark, d), image(spark, d)[1])
 
 
-@query("g31_interpolation", f"WITH {IMG}, p AS (SELECT ix AS x, iy AS y, w AS v FROM img WHERE ix % 5 = 0 AND iy % 5 = 0 AND iy < 100), k AS (SELECT a.ix, a.iy, v, 1 / (pow(a.ix - x, 2) + pow(a.iy - y, 2) + 1e-9) AS k FROM p JOIN img a ON abs(a.ix - x) <= 4 AND abs(a.iy - y) <= 4) SELECT ix, iy, {r('sum(k * v) / sum(k)')} AS w FROM k GROUP BY 1, 2")
+@query("g31_interpolation", f"WITH {IMG}, p AS (SELECT ix AS x, iy AS y, w AS v FROM img WHERE w > 0.2), k AS (SELECT a.ix, a.iy, v, 1 / (pow(a.ix - x, 2) + pow(a.iy - y, 2) + 1e-9) AS k FROM p JOIN img a ON abs(a.ix - x) <= 4 AND abs(a.iy - y) <= 4) SELECT ix, iy, {r('sum(k * v) / sum(k)')} AS w FROM k GROUP BY 1, 2")
 def g31(spark, d):
     px, s = image(spark, d)
-    p = px.where("ix % 5 = 0 AND iy % 5 = 0 AND iy < 100").select(F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("w").alias("v"))
+    p = px.where("w > 0.2").select(F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col("w").alias("v"))
     return out(X.interpolated(p, s, 4), "ix", "iy", w="w")
 
 
@@ -255,9 +256,9 @@ def x17(spark, d):
     return out(h.agg((F.sum(F.col("w") * F.col("h")) / F.sum("h")).alias("c1"), (F.sum(F.col("w") * (1 - F.col("h"))) / F.sum(1 - F.col("h"))).alias("c2")), c1="c1", c2="c2")
 
 
-@query("x40_gaussian_mixture", f"WITH {IMG} SELECT ix, iy, {r('0.5 + 2 * exp(-(pow(ix - 20, 2) / 18 + pow(iy - 50, 2) / 18)) + 3 * exp(-(pow(ix - 24, 2) / 8 + pow(iy - 55, 2) / 8))')} AS v FROM img WHERE iy < 100")
+@query("x40_gaussian_mixture", f"WITH {IMG} SELECT ix, iy, {r('0.5 + 2 * exp(-(pow(ix - 20, 2) / 18 + pow(iy - 50, 2) / 18)) + 3 * exp(-(pow(ix - 24, 2) / 8 + pow(iy - 55, 2) / 8))')} AS v FROM img")
 def x40(spark, d):
-    px = embedding_image(spark, d).where("iy < 100")
+    px = embedding_image(spark, d)
     g = lambda a, x, y, s: C.gauss2d(F.col("ix"), F.col("iy"), a, x, y, s, s, F.lit(0.0))
     return out(px, "ix", "iy", v=0.5 + g(2.0, 20.0, 50.0, 3.0) + g(3.0, 24.0, 55.0, 2.0))
 

@@ -113,10 +113,13 @@ def g19(spark, d):
     return SG.merge_hierarchical(labelled(spark, d).select("ix", "iy", "w", "label"), 0.3, 0.01, 10, 2).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("g21_components", "WITH RECURSIVE e AS (SELECT o_custkey AS a, o_orderkey % 997 + 100000 AS b FROM orders WHERE o_orderkey % 13 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), x AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, x.root FROM x JOIN u ON u.a = x.id) SELECT id, min(root) AS component FROM x GROUP BY id")
+@query("g21_components", "WITH RECURSIVE e AS (SELECT c_custkey AS a, 1000000000 + c_nationkey * 5 + ascii(c_mktsegment) % 5 AS b FROM customer UNION ALL SELECT s_suppkey + 2000000000, 1000000000 + s_nationkey * 5 + s_suppkey % 2 FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), x AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, x.root FROM x JOIN u ON u.a = x.id) SELECT id, min(root) AS component FROM x GROUP BY id")
 def g21(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 13 = 0")
-    return GR.components(o.select(F.col("o_custkey").cast("long").alias("a"), (F.col("o_orderkey") % 997 + 100000).cast("long").alias("b")))
+    """Customers and suppliers linked with their markets, a nation's segments."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    market = lambda nation, i: (F.lit(1000000000) + F.col(nation) * 5 + i).cast("long").alias("b")
+    edges = c.select(F.col("c_custkey").cast("long").alias("a"), market("c_nationkey", F.ascii("c_mktsegment") % 5))
+    return GR.components(edges.unionByName(s.select((F.col("s_suppkey") + 2000000000).cast("long").alias("a"), market("s_nationkey", F.col("s_suppkey") % 2))))
 
 
 @query("g22_adjacency", f"WITH {_J12}, u AS (SELECT a, b FROM nb UNION ALL SELECT b, a FROM nb) SELECT a, count(*) AS degree, min(b) AS first_neighbour FROM u GROUP BY a")

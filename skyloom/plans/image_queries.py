@@ -208,15 +208,15 @@ def w20(spark, d):
     return D.dilated(px.where("w > 0.35").withColumn("source_id", F.lit(1)), 5, s).select("ix", "iy")
 
 
-@query("w23_dft", f"WITH p AS (SELECT vec_id, unnest(range(64)) AS t, unnest(embedding)::DOUBLE AS re FROM embeddings WHERE vec_id < 20) SELECT vec_id, k, {rs(re='sum(re * cos(-2 * pi() * ((k * t) % 64) / 64))', im='sum(re * sin(-2 * pi() * ((k * t) % 64) / 64))')} FROM p, range(64) x(k) GROUP BY vec_id, k")
+@query("w23_dft", f"WITH p AS (SELECT vec_id, unnest(range(64)) AS t, unnest(embedding)::DOUBLE AS re FROM embeddings) SELECT vec_id, k, {rs(re='sum(re * cos(-2 * pi() * ((k * t) % 64) / 64))', im='sum(re * sin(-2 * pi() * ((k * t) % 64) / 64))')} FROM p, range(64) x(k) GROUP BY vec_id, k")
 def w23(spark, d):
-    p = embedding_image(spark, d).where("iy < 20").select(F.col("iy").alias("vec_id"), F.col("ix").alias("t"), F.col("w").alias("re"), F.lit(0.0).alias("im"))
+    p = embedding_image(spark, d).select(F.col("iy").alias("vec_id"), F.col("ix").alias("t"), F.col("w").alias("re"), F.lit(0.0).alias("im"))
     return out(ST.dft(p, "vec_id", 64).withColumn("k", F.col("k").cast("long")), "vec_id", "k", re="re", im="im")
 
 
-@query("w24_inverse_dft", f"SELECT vec_id, unnest(range(64)) AS t, {r('unnest(embedding)::DOUBLE')} AS re FROM embeddings WHERE vec_id < 10")
+@query("w24_inverse_dft", f"SELECT vec_id, unnest(range(64)) AS t, {r('unnest(embedding)::DOUBLE')} AS re FROM embeddings")
 def w24(spark, d):
-    p = embedding_image(spark, d).where("iy < 10").select(F.col("iy").alias("vec_id"), F.col("ix").alias("t"), F.col("w").alias("re"), F.lit(0.0).alias("im"))
+    p = embedding_image(spark, d).select(F.col("iy").alias("vec_id"), F.col("ix").alias("t"), F.col("w").alias("re"), F.lit(0.0).alias("im"))
     f = ST.dft(p, "vec_id", 64).select("vec_id", F.col("k").alias("t"), "re", "im")
     return out(ST.dft(f, "vec_id", 64, inverse=True).select("vec_id", F.col("k").cast("long").alias("t"), "re"), "vec_id", "t", re="re")
 

@@ -427,10 +427,18 @@ def a33(spark, d):
 
 
 # --- S: sources, O: sets --------------------------------------------------------------------------------------------------
-@query("s13_from_matrix", "WITH m AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 8) SELECT 7 - vec_id AS iy, unnest(range(64)) AS ix, " + r("unnest(embedding)::DOUBLE") + " AS w FROM m")
+#: Matrices of the whole table: eight vectors each, the first one on top.
+_MATRICES = "mats AS (SELECT vec_id // 8 AS m, vec_id - min(vec_id) OVER (PARTITION BY vec_id // 8) AS top, count(*) OVER (PARTITION BY vec_id // 8) AS ny, embedding FROM embeddings)"
+
+
+def _matrices(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("m", F.floor(F.col("vec_id") / 8))
+    return rows.groupBy("m").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("rows"))
+
+
+@query("s13_from_matrix", f"WITH {_MATRICES} SELECT m, ny - 1 - top AS iy, unnest(range(64)) AS ix, {r('unnest(embedding)::DOUBLE')} AS w FROM mats")
 def s13(spark, d):
-    m = table(spark, d, "embeddings").where("vec_id < 8").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("m"))
-    return out(from_matrix(m, "m"), "iy", "ix", w="w")
+    return out(from_matrix(_matrices(spark, d), "rows", "m"), "m", "iy", "ix", w="w")
 
 
 @query("s16_to_rows", f"WITH {IMG} SELECT iy, count(*) AS n, {rs(first='arg_min(w, ix)', last='arg_max(w, ix)', total='sum(w)')} FROM img GROUP BY iy")
@@ -460,21 +468,21 @@ def o03(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.array_position("embedding", F.array_max("embedding")).alias("pos"))
 
 
-@query("o04_delete_items", f"WITH {IMG} SELECT ix, iy FROM img WHERE ix < 5 AND (ix, iy) NOT IN (SELECT ix, iy FROM img WHERE w < 0)")
+@query("o04_delete_items", f"WITH {IMG} SELECT ix, iy FROM img WHERE (ix, iy) NOT IN (SELECT ix, iy FROM img WHERE w < 0)")
 def o04(spark, d):
-    px = embedding_image(spark, d).where("ix < 5").select("ix", "iy", "w")
+    px = embedding_image(spark, d)
     return px.join(px.where("w < 0"), ["ix", "iy"], "left_anti").select("ix", "iy")
 
 
-@query("o05_argsort", f"WITH {IMG}, p AS (SELECT iy * 64 + ix AS g, iy, w FROM img WHERE ix < 16) SELECT g, row_number() OVER (PARTITION BY iy ORDER BY w, g) AS rnk FROM p")
+@query("o05_argsort", f"WITH {IMG}, p AS (SELECT iy * 64 + ix AS g, iy, w FROM img) SELECT g, row_number() OVER (PARTITION BY iy ORDER BY w, g) AS rnk FROM p")
 def o05(spark, d):
-    p = embedding_image(spark, d).where("ix < 16").select((F.col("iy") * 64 + F.col("ix")).alias("g"), "iy", "w")
+    p = embedding_image(spark, d).select((F.col("iy") * 64 + F.col("ix")).alias("g"), "iy", "w")
     return p.select("g", F.row_number().over(Window.partitionBy("iy").orderBy("w", "g")).cast("long").alias("rnk"))
 
 
-@query("o06_argsort_descending", f"WITH {IMG}, p AS (SELECT iy * 64 + ix AS g, iy, w FROM img WHERE ix < 16) SELECT g, row_number() OVER (PARTITION BY iy ORDER BY w DESC, g) AS rnk FROM p")
+@query("o06_argsort_descending", f"WITH {IMG}, p AS (SELECT iy * 64 + ix AS g, iy, w FROM img) SELECT g, row_number() OVER (PARTITION BY iy ORDER BY w DESC, g) AS rnk FROM p")
 def o06(spark, d):
-    p = embedding_image(spark, d).where("ix < 16").select((F.col("iy") * 64 + F.col("ix")).alias("g"), "iy", "w")
+    p = embedding_image(spark, d).select((F.col("iy") * 64 + F.col("ix")).alias("g"), "iy", "w")
     return p.select("g", F.row_number().over(Window.partitionBy("iy").orderBy(F.desc("w"), "g")).cast("long").alias("rnk"))
 
 
@@ -488,13 +496,14 @@ def o07(spark, d):
     return every.select("tx", "ty", F.concat(F.lit("S"), n).alias("name"), "ix", "iy")
 
 
-@query("o08_nearest_mean", "WITH r AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 60), p AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))), b.vec_id) AS k FROM r a JOIN r b ON a.vec_id <> b.vec_id) SELECT vec_id, " + r("avg(d)") + " AS d FROM p WHERE k <= 5 GROUP BY vec_id")
+_DIST = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2))))"
+
+
+@query("o08_nearest_mean", f"WITH p AS (SELECT a.vec_id, {_DIST} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST}, b.vec_id) AS k FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT vec_id, {r('avg(d)')} AS d FROM p WHERE k <= 5 GROUP BY vec_id")
 def o08(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 60").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    o = F.broadcast(v.select(F.col("vec_id").alias("o"), F.col("e").alias("f")))
-    dist = F.sqrt(F.aggregate(F.zip_with("e", "f", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    p = v.join(o, F.col("vec_id") != F.col("o")).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(dist.alias("d"), "o"))), 1, 5).alias("near"))
-    return out(p, "vec_id", d=F.aggregate("near", F.lit(0.0), lambda a, x: a + x["d"]) / F.size("near"))
+    """Every row whose id is divisible by 20 is a query against all rows."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    return out(S.nearest_mean(v.where("id % 20 = 0"), v, 5), F.col("id").alias("vec_id"), d="d")
 
 
 @query("o09_brightest", f"WITH {TILED}, k AS (SELECT *, row_number() OVER (PARTITION BY tx, ty ORDER BY w DESC, iy, ix) AS rnk FROM t) SELECT tx, ty, ix, iy, {r('w')} AS w, rnk FROM k WHERE rnk <= 3")

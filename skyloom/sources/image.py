@@ -14,10 +14,10 @@ def from_rows(rows: DataFrame, iy: str, values: str) -> DataFrame:
     return rows.select(F.col(iy).cast("long").alias("iy"), F.posexplode(values).alias("ix", "w")).select(F.col("ix").cast("long"), "iy", F.col("w").cast("double"))
 
 
-def from_matrix(df: DataFrame, values: str) -> DataFrame:
-    """A matrix per record (array of rows, the top row first): iy counts from the bottom."""
-    r = df.select(F.size(values).alias("ny"), F.posexplode(values).alias("r", "row"))
-    return r.select((F.col("ny") - 1 - F.col("r")).cast("long").alias("iy"), F.posexplode("row").alias("ix", "w")).select(F.col("ix").cast("long"), "iy", F.col("w").cast("double"))
+def from_matrix(df: DataFrame, values: str, *keys: str) -> DataFrame:
+    """A matrix per record (array of rows, the top row first): iy counts from the bottom. `keys` tell several matrices apart."""
+    r = df.select(*keys, F.size(values).alias("ny"), F.posexplode(values).alias("r", "row"))
+    return r.select(*keys, (F.col("ny") - 1 - F.col("r")).cast("long").alias("iy"), F.posexplode("row").alias("ix", "w")).select(*keys, F.col("ix").cast("long"), "iy", F.col("w").cast("double"))
 
 
 def to_rows(px: DataFrame) -> DataFrame:
