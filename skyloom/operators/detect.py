@@ -169,15 +169,15 @@ def dilated(pixels: DataFrame, size: int, shape: tuple[int, int], kind: str = "e
 
 
 def residual_map(px: DataFrame, pixels: DataFrame, size: int, shape: tuple[int, int], model: str = "median", randomize: bool = False, seed: int = 0) -> DataFrame:
-    """(ix, iy, w): sources replaced within their dilated pixels by the source's median, or by bkg (a column of px).
+    """(ix, iy, w): sources replaced within their dilated pixels by the source's median or mean (model), or by bkg (a column of px).
 
     randomize adds noise of the column rms, a normal cut off at one sigma.
     """
     spread = dilated(pixels, size, shape)
-    med = pixels.groupBy("source_id").agg(F.percentile("w", 0.5).alias("m"))
+    med = pixels.groupBy("source_id").agg((F.avg("w") if model == "mean" else F.percentile("w", 0.5)).alias("m"))
     fill = spread.join(med, "source_id").groupBy("ix", "iy").agg(F.min_by("m", "source_id").alias("m"))
     j = px.join(fill, ["ix", "iy"], "left")
-    new = F.col("m") if model == "median" else F.col("bkg")
+    new = F.col("bkg") if model == "bkg" else F.col("m")
     if randomize:
         # Uniform on the cumulative range of [-1, 1] sigma, turned into a normal by its quantile's series.
         u = F.rand(seed) * 2 - 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Device states that mean free and busy.
 FREE, BUSY = ("ON",), ("RUNNING", "INIT")
@@ -50,3 +50,35 @@ def run_tasks(tasks: DataFrame, do, sink: str, checkpoint: str):
         do(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return tasks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def state_changes(events: DataFrame) -> DataFrame:
+    """(worker, old, state, ts): the events (worker, state, ts) that changed a worker's state, as subscribers get them; the first event of a worker is a change."""
+    before = F.lag("state").over(Window.partitionBy("worker").orderBy("ts"))
+    return events.select("worker", before.alias("old"), "state", "ts").where(~F.col("state").eqNullSafe(F.col("old")))
+
+
+def registered(events: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(worker, since): each worker once, from its first event; `known` workers keep their date."""
+    new = events.groupBy("worker").agg(F.min("ts").alias("since"))
+    return new if known is None else known.select("worker", "since").unionByName(new.join(known, "worker", "left_anti"))
+
+
+def listed(states: DataFrame) -> DataFrame:
+    """(status, n, first_worker): how many workers there are of each status, and the first by name."""
+    return states.groupBy("status").agg(F.count("*").alias("n"), F.min("worker").alias("first_worker"))
+
+
+def job_attributes(changes: DataFrame) -> DataFrame:
+    """(job, name, value): attributes that a job has after changes (job, name, value, ts), a null value being a removal."""
+    last = changes.groupBy("job", "name").agg(F.max(F.struct("ts", "value")).alias("x"))
+    return last.select("job", "name", "x.value").where("value IS NOT NULL")
+
+
+def typed_options(lines: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(name, value, accepted) of JSON lines {name, value}: accepted are known names whose value can be read as their kind (long, double, boolean, string)."""
+    o = lines.select(F.from_json("value", "name string, value string").alias("o")).select("o.*").where("name IS NOT NULL")
+    reads = F.lit(False)
+    for name, kind in sorted(kinds.items()):
+        reads = reads | ((F.col("name") == name) & F.expr(f"try_cast(value AS {kind})").isNotNull())
+    return o.select("name", "value", F.coalesce(reads, F.lit(False)).alias("accepted"))
