@@ -50,21 +50,36 @@ def rebalanced(slot_map: DataFrame, slot_bytes: DataFrame, n_shards: int) -> Dat
     return one.select((F.col("version") + 1).alias("version"), F.explode(every).alias("x")).select("version", "x.virtual_slot", "x.shard")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stored_map(spark, map_path: str) -> DataFrame | None:
+    """The latest version of the map stored at a path; None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(map_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    every = spark.read.schema("version int, virtual_slot int, shard int").parquet(map_path)
+    return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version", "left_semi")
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """One row for each row: doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
     Law `bytes`: shards' sizes are near equal. Records are hashed into virtual slots, bytes are summed by
-    slot, and the map of version 0 is edited once on these sums; both versions are stored in the shared
-    folder. `slot` is the row's place in its shard, gapless from 0. A null text has no bytes and CRC 0; a null
+    slot, and the latest version of the map stored at `map_path`, or version 0, is edited once on these sums; the
+    new version is stored there, after the others (without a path, in the shared folder). The law puts no bound on
+    where equal texts go: records of one text are dealt over slots by their ids, so a text that a third of all rows
+    share fills no shard. Ties of slots' bytes go by slot, ties of loads to the first shard. `slot` is the row's place in its shard, gapless from 0. A null text has no bytes and CRC 0; a null
     id is an id like any other. Rows that are alike in all of this are told apart by place only. grown_shard is
     null under this law. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     rec = written(records(docs, n_slots, id_col, text_col), "records")
     sums = written(rec.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "slot_sums")
-    old = first_map(spark, n_shards, n_slots)
-    versions = written(old.unionByName(rebalanced(old, sums.select("virtual_slot", "bytes"), n_shards)), "slot_map")
-    latest = versions.where("version = 1").join(F.broadcast(sums), "virtual_slot").select("version", "virtual_slot", "shard", "n")
+    old = stored_map(spark, map_path) if map_path else None
+    fresh = old is None
+    old = first_map(spark, n_shards, n_slots) if fresh else written(old.select("version", "virtual_slot", "shard"), "old_map")
+    new = written(rebalanced(old, sums.select("virtual_slot", "bytes"), n_shards), "slot_map")
+    if map_path:
+        (old.unionByName(new) if fresh else new).write.mode("append").parquet(map_path)
+    latest = new.join(F.broadcast(sums), "virtual_slot").select("version", "virtual_slot", "shard", "n")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     latest = latest.select(F.col("version").alias("map_version"), "virtual_slot", "shard", before.alias("before"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size"))

@@ -46,6 +46,58 @@ def test_map_is_edited_not_redrawn(spark):
     assert {r.shard for r in moved.collect()} == {4}
 
 
+def test_stored_map_is_loaded_and_edited(spark, tmp_path):
+    path = f"file://{tmp_path}/map"
+    df = docs(spark, odd=False)
+    a = {r.doc_id: r for r in S.shard_documents(df, 4, 64, map_path=path).collect()}
+    b = {r.doc_id: r for r in S.shard_documents(df, 4, 64, map_path=path).collect()}
+    assert {r.map_version for r in a.values()} == {1} and {r.map_version for r in b.values()} == {2}
+    grown = {r.doc_id: r for r in S.shard_documents(df, 5, 64, map_path=path).collect()}
+    assert {r.map_version for r in grown.values()} == {3} and {r.shard for r in grown.values()} == set(range(5))
+    assert sum(a[i].shard != b[i].shard for i in a) < 0.1 * len(a) and sum(b[i].shard != grown[i].shard for i in a) < 0.4 * len(a)
+    assert spark.read.parquet(path).groupBy("version").count().count() == 4
+
+
+def test_sharding_of_long_texts_ties_and_repeats(spark):
+    rows = [(i, "é" * 300000 if i == 5 else "same") for i in range(200)] + [(7, "same")] * 300
+    got = S.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 500 and {r.size for r in got} == {5, 600001}
+    for shard in {r.shard for r in got}:
+        mine = [r.slot for r in got if r.shard == shard]
+        assert sorted(mine) == list(range(len(mine)))
+
+
+def test_map_matches_brute_force(spark):
+    """The rule once more in plain Python, with ties of bytes."""
+    rng = random.Random(5)
+    size = {i: rng.choice([0, 10, 10, 35, 400]) for i in range(96)}
+    sums = spark.createDataFrame(list(size.items()), "virtual_slot int, bytes long")
+    old = S.first_map(spark, 6, 96)
+    for n in (6, 7, 5):
+        got = {r.virtual_slot: r.shard for r in S.rebalanced(old, sums, n).collect()}
+        total, loads, want, pool = sum(size.values()), [0] * n, {}, []
+        for shard in range(6):
+            run = 0
+            for slot in sorted((i for i in size if i % 6 == shard), key=lambda i: (-size[i], i)):
+                run += size[slot]
+                if run * n <= total and shard < n:
+                    want[slot] = shard
+                    loads[shard] += size[slot]
+                else:
+                    pool.append(slot)
+        for slot in sorted(pool, key=lambda i: (-size[i], i)):
+            to = loads.index(min(loads))
+            want[slot] = to
+            loads[to] += size[slot]
+        assert got == want
+
+
+def test_mixing_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(0, "w " * 200000, "a")] + [(i, "x y z", "ab"[i % 2]) for i in range(1, 300)], "doc_id long, text string, source string")
+    rows = M.mix_documents(df).collect()
+    assert max(r.size for r in rows) == 200000 and all(0 <= r.taken <= 3 * r.size for r in rows)
+
+
 def targets(sums):
     """Brute force: share by weight, cap, share the excess again."""
     names = sorted((s for s in sums if s is not None)) + [s for s in sums if s is None]
