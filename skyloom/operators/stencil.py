@@ -13,6 +13,8 @@ from itertools import product
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .graph import written
+
 TILE = 256
 
 
@@ -143,20 +145,31 @@ def convolve(px: DataFrame, kernel: np.ndarray, shape: tuple[int, int], border:
 
 
 def wavelet(px: DataFrame, scales: int, shape: tuple[int, int]) -> DataFrame:
-    """(ix, iy, w1 .. wN, smooth): isotropic undecimated wavelet planes by the B3 spline, in one pass.
+    """(ix, iy, w1 .. wN, smooth): isotropic undecimated wavelet planes by the B3 spline.
 
-    The margin covers all scales' reach, so no scale waits for a shuffle of its own.
+    The margin covers the reach of all scales that fit a tile, so none of these waits for a shuffle of its own;
+    each further scale takes a pass on larger tiles.
     """
-    reach = sum(2 * 2**s for s in range(scales))
+    near = 1
+    while near < scales and sum(2 * 2**s for s in range(near + 1)) <= TILE:
+        near += 1
+
+    def planes(first, last):
+        def go(f):
+            out = {}
+            for s in range(first, last):
+                g = correlate(f, B3, 2**s)
+                out[f"w{s + 1}"], f = f - g, g
+            return out | {"smooth": f}
 
-    def planes(a):
-        out, f = {}, a
-        for s in range(scales):
-            g = correlate(f, B3, 2**s)
-            out[f"w{s + 1}"], f = f - g, g
-        return out | {"smooth": f}
+        return go
 
-    return tiled_apply(px, reach, planes, shape, "mirror", tuple(f"w{s + 1}" for s in range(scales)) + ("smooth",))
+    out = tiled_apply(px, sum(2 * 2**s for s in range(near)), planes(0, near), shape, "mirror", tuple(f"w{s + 1}" for s in range(near)) + ("smooth",))
+    for s in range(near, scales):
+        out = written(out, "planes")
+        further = tiled_apply(out, 2 * 2**s, planes(s, s + 1), shape, "mirror", (f"w{s + 1}", "smooth"), ("smooth",), max(TILE, 2 * 2**s))
+        out = out.drop("smooth").join(further, ["ix", "iy"])
+    return out
 
 
 def gradient(px: DataFrame, shape: tuple[int, int], kernel: np.ndarray = SCHARR_X) -> DataFrame:
@@ -303,35 +316,41 @@ def zero_crossings(px: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return tiled_apply(px, 1, go, shape, "missing").where("w = 1").select("ix", "iy")
 
 
-def skeleton(px: DataFrame, threshold: float, size: int, shape: tuple[int, int], rounds: int = 20) -> DataFrame:
-    """(ix, iy): union of what opening takes away from ever more eroded versions of the mask."""
+def skeleton(px: DataFrame, threshold: float, size: int, shape: tuple[int, int], rounds: int = 20, tile: int = TILE) -> DataFrame:
+    """(ix, iy): union of what opening takes away from ever more eroded versions of the mask, until nothing is left of it.
+
+    A pass makes `rounds` erosions with the margin these need, so the result depends neither on them nor on the tiles.
+    """
     el = element("cross", size)
+    reach = (rounds + 1) * (size // 2)
 
-    def go(a):
-        m, out = np.where(a >= threshold, 1.0, 0.0), np.zeros_like(a)
+    def go(m, out):
         for _ in range(rounds):
             e = _rank(m, el, False)
             out = np.maximum(out, m - _rank(e, el, True))
             m = e
             if not m.any():
                 break
-        return out
+        return {"m": m, "out": out}
 
-    return tiled_apply(px, min(TILE, (rounds + 1) * size), go, shape).where("w = 1").select("ix", "iy")
+    state = px.select("ix", "iy", (F.col("w") >= threshold).cast("double").alias("m"), F.lit(0.0).alias("out"))
+    left = None
+    while True:
+        state = written(tiled_apply(state, reach, go, shape, "zero", ("m", "out"), ("m", "out"), max(tile, reach)), "skeleton")
+        before, left = left, state.where("m > 0").count()
+        if not left or left == before:
+            return state.where("out = 1").select("ix", "iy")
 
 
-def multi_scale_mask(px: DataFrame, shape: tuple[int, int], sigmas: list[float], factor: int = 6, threshold: float = 2.0) -> DataFrame:
-    """(ix, iy, n_scales): at how many scales the negated NormLoG response is over `threshold` times its tile's rms."""
+def multi_scale_mask(px: DataFrame, shape: tuple[int, int], sigmas: list[float], factor: int = 6, threshold: float = 2.0, tile: int = TILE) -> DataFrame:
+    """(ix, iy, n_scales): at how many scales the negated NormLoG response is over `threshold` times its rms over the image."""
     ks = [-norm_log_kernel(int(factor * s) // 2 * 2 + 1, s) for s in sigmas]
-
-    def go(a):
-        n = np.zeros_like(a)
-        for k in ks:
-            f = correlate(a, k)
-            n += f >= threshold * f.std()
-        return n
-
-    return tiled_apply(px, max(k.shape[0] for k in ks) // 2, go, shape, "mirror", ("w",)).select("ix", "iy", F.col("w").cast("int").alias("n_scales"))
+    names = tuple(f"f{i}" for i in range(len(ks)))
+    reach = max(k.shape[0] for k in ks) // 2
+    found = written(tiled_apply(px, reach, lambda a: {n: correlate(a, k) for n, k in zip(names, ks)}, shape, "mirror", names, tile=max(tile, reach)), "responses")
+    rms = found.agg(*[F.stddev_pop(n).alias(n) for n in names]).collect()[0]
+    over = sum((F.when(F.col(n) >= threshold * (rms[n] or 0.0), 1).otherwise(0) for n in names), F.lit(0))
+    return found.select("ix", "iy", over.cast("int").alias("n_scales"))
 
 
 def canny(px: DataFrame, shape: tuple[int, int], low: float, ratio: float) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import time
+import warnings
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +24,12 @@ from ..sources.image import shape, tile
 ESTIMATORS = {1: "mean", 2: "median", 3: "biweight", 4: "clipped"}
 #: Searches for extended sources by the number in option extendedSearchMethod.
 EXTENDED = {1: "wavelet", 2: "superpixels", 3: "contour", 4: "saliency"}
+#: The options that change what `run` does.
+HONOURED = frozenset(
+    "bkgEstimator boxSizeX boxSizeY compactSourceSearchNIters cvNIters dilateKernelSize extendedSearchMethod gausFilterKernSize gausFilterSigma gridSizeX gridSizeY guidedFilterColorEps "
+    "guidedFilterRadius mergeThr minNPix saliencyResoMax saliencyResoMin saliencyResoStep searchExtendedSources seedThr seedThrStep smoothFilter spSize tileSizeX tileSizeY usePreSmoothing "
+    "useResidualInExtendedSearch wtScaleSearchMax wtScaleSearchMin".split()
+)
 
 
 def open_image(spark: SparkSession, path: str, x: tuple[int, int] | None = None, y: tuple[int, int] | None = None) -> DataFrame:
@@ -50,10 +58,15 @@ def edge_image(px: DataFrame, size: tuple[int, int], model: str = "kirsch", roun
     return px.select("ix", "iy").join(rim, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("e", F.lit(0.0)).alias("w"))
 
 
-def segmented(px: DataFrame, size: tuple[int, int], region: int, regularisation: float, least: int, limit: float) -> DataFrame:
-    """(ix, iy, w, label): superpixels, merged while mutually nearest, then level by level."""
-    sp = SG.superpixels(px, size, region, regularisation, least, 5)
-    return SG.merge_hierarchical(SG.merge_mutual(sp, limit, 5), 0.3, limit, 2, 5)
+def segmented(px: DataFrame, size: tuple[int, int], region: int, regularisation: float, least: int, limit: float, rounds: int = 5) -> DataFrame:
+    """(ix, iy, w, label): superpixels, merged while mutually nearest, then level by level. `rounds` bounds each of the three steps, which stop before if nothing moves."""
+    sp = SG.superpixels(px, size, region, regularisation, least, rounds)
+    return SG.merge_hierarchical(SG.merge_mutual(sp, limit, rounds), 0.3, limit, 2, rounds)
+
+
+def ignored(o: config.Options) -> list[str]:
+    """Options that were changed and that `run` does not read."""
+    return [f.name for f in fields(o) if f.name not in HONOURED and getattr(o, f.name) != f.default]
 
 
 def find_extended(px: DataFrame, size: tuple[int, int], o: config.Options, method: str) -> DataFrame:
@@ -63,7 +76,7 @@ def find_extended(px: DataFrame, size: tuple[int, int], o: config.Options, metho
     if method == "superpixels":
         return X.superpixel_sources(px, size, o.spSize, 0.5, o.mergeThr)
     if method == "contour":
-        return X.contour_sources(px, size, min(o.cvNIters, 100), o.minNPix)
+        return X.contour_sources(px, size, o.cvNIters, o.minNPix)
     if method == "wavelet":
         return D.wavelet_sources(px, size, range(o.wtScaleSearchMin, o.wtScaleSearchMax + 1), o.seedThr, o.mergeThr, o.minNPix)
     raise ValueError(f"unknown method {method!r}: {', '.join(EXTENDED.values())}")
@@ -72,6 +85,8 @@ def find_extended(px: DataFrame, size: tuple[int, int], o: config.Options, metho
 def run(spark: SparkSession, px: DataFrame, o: config.Options, sink: str, extended: str | None = None, beam_pixels: float = 1.0) -> dict[str, DataFrame]:
     """Find, select, fit and save: tables SourceInfo, PixelInfo, FitInfo, ConfigInfo, PerformanceInfo, TaskInfo and maps under `sink`."""
     took, began = {}, time.time()
+    for name in ignored(o):
+        warnings.warn(f"option {name} changes nothing here")
 
     def done(stage: str) -> None:
         nonlocal began
