@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import SIGMA2FWHM
+from .detect import _runs
 
 FIT_SCHEMA = "source_id long, component int, amplitude double, x0 double, y0 double, sigma_x double, sigma_y double, theta double, offset double, flux double, chi2 double, ndof int, status int"
 #: Fit status: converged, stopped at the step limit, parameters at a limit, too few pixels.
@@ -84,18 +85,57 @@ def fit_sources(pixels: DataFrame, noise: float, components: int = 3) -> DataFra
     return pixels.select("source_id", "ix", "iy", "w").groupBy("source_id").applyInPandas(one, FIT_SCHEMA)
 
 
+#: The eight neighbours (dx, dy), counter-clockwise from the right.
+AROUND = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
+
+
 def contour_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Convex outline of pixels, counter-clockwise (monotone chain)."""
-    pts = sorted(set(zip(x.tolist(), y.tolist())))
+    """Outer border of the largest 8-connected part of the pixels, counter-clockwise, through the pixels' centres.
+
+    Border pixels come in the order of the walk around them; a pixel of a thin arm is passed on the way out and on
+    the way back, so a line of n pixels has 2 n - 2 points. Holes have no part in it. Of equally large parts the one
+    of the lowest row counts.
+    """
+    if not len(x):
+        return np.empty((0, 2))
+    x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+    x0, y0 = x.min(), y.min()
+    mask = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+    mask[y - y0, x - x0] = True
+    part = _runs(mask, True)
+    mask = np.pad(part == np.bincount(part[part > 0]).argmax(), 1)
+    top = np.flatnonzero(mask.any(axis=1))[-1]
+    here = first = (int(np.flatnonzero(mask[top])[0]), int(top))
+    # Nothing lies above the first pixel or to its left in its row, so the walk begins downwards along the left side.
+    points, came, leave = [], 7, None
+    while True:
+        for turn in range(8):
+            to = (came + 6 + turn) % 8 if came % 2 else (came + 7 + turn) % 8
+            there = (here[0] + AROUND[to][0], here[1] + AROUND[to][1])
+            if mask[there[1], there[0]]:
+                break
+        else:
+            return np.array([[first[0] - 1 + x0, first[1] - 1 + y0]], float)
+        if here == first and to == leave:
+            break
+        leave = to if leave is None else leave
+        points.append(here)
+        here, came = there, to
+    return np.array(points, float) - 1 + [x0, y0]
+
+
+def hull_of(p: np.ndarray) -> np.ndarray:
+    """Convex hull of points, counter-clockwise."""
+    pts = sorted(set(map(tuple, p.tolist())))
     if len(pts) < 3:
         return np.array(pts, float)
 
     def half(points):
         out = []
-        for p in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+        for q in points:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
                 out.pop()
-            out.append(p)
+            out.append(q)
         return out[:-1]
 
     return np.array(half(pts) + half(pts[::-1]), float)
@@ -128,19 +168,33 @@ def fit_ellipse(p: np.ndarray) -> tuple[float, float, float, float, float] | Non
     return float(centre[0] + m[0]), float(centre[1] + m[1]), float(1 / np.sqrt(w[0])), float(1 / np.sqrt(w[1])), float(np.rad2deg(np.arctan2(v[1, 0], v[0, 0])))
 
 
-SHAPE_SCHEMA = "source_id long, n_points int, area double, perimeter double, circularity double, box_area double, elongation double, rectangularity double, cx double, cy double, eccentricity double, tilt double, ellipse_area double, bending double"
+SHAPE_SCHEMA = (
+    "source_id long, n_points int, area double, perimeter double, circularity double, box_area double, box_min double, elongation double, rectangularity double, roundness double, cx double, cy double, "
+    "eccentricity double, tilt double, ellipse_area double, ellipse_area_ratio double, ellipse_chi2 double, bending double"
+)
+
+
+def ellipse_residual(p: np.ndarray, e: tuple[float, float, float, float, float]) -> float:
+    """Mean squared distance of points from an ellipse along the ray from its centre, over points less parameters; NaN with five points or fewer."""
+    if len(p) <= len(e):
+        return float("nan")
+    x0, y0, a, b, t = *e[:4], np.deg2rad(e[4])
+    u, v = (p[:, 0] - x0) * np.cos(t) + (p[:, 1] - y0) * np.sin(t), -(p[:, 0] - x0) * np.sin(t) + (p[:, 1] - y0) * np.cos(t)
+    k = np.hypot(u / a, v / b)
+    away = np.where(k > 0, np.hypot(u, v) * (1 - 1 / np.maximum(k, 1e-12)), min(a, b))
+    return float((away**2).sum() / (len(p) - len(e)))
 
 
 def shape_of(p: np.ndarray) -> list[float]:
-    """Area, perimeter, circularity, least-area box, elongation, rectangularity, centroid, eccentricity, tilt, ellipse area, bending energy."""
+    """The values of SHAPE_SCHEMA from area on, for a counter-clockwise outline that encloses an area."""
     q = np.roll(p, -1, axis=0)
     cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
     area, edge = cross.sum() / 2, q - p
     length = float(np.hypot(*edge.T).sum())
-    best = None
-    for dx, dy in edge:
+    best, hull = None, hull_of(p)
+    for dx, dy in np.roll(hull, -1, axis=0) - hull:
         n = np.hypot(dx, dy)
-        u, v = p @ [dx / n, dy / n], p @ [-dy / n, dx / n]
+        u, v = hull @ [dx / n, dy / n], hull @ [-dy / n, dx / n]
         wide, high = np.ptp(u), np.ptp(v)
         if best is None or wide * high < best[0]:
             best = (wide * high, max(wide, high), min(wide, high))
@@ -148,16 +202,23 @@ def shape_of(p: np.ndarray) -> list[float]:
     mxx, myy = (((p[:, i] ** 2 + p[:, i] * q[:, i] + q[:, i] ** 2) * cross).sum() / (12 * area) - c * c for i, c in ((0, cx), (1, cy)))
     mxy = ((p[:, 0] * q[:, 1] + 2 * p[:, 0] * p[:, 1] + 2 * q[:, 0] * q[:, 1] + q[:, 0] * p[:, 1]) * cross).sum() / (24 * area) - cx * cy
     half, diff = (mxx + myy) / 2, np.sqrt(((mxx - myy) / 2) ** 2 + mxy * mxy)
-    ell = fit_ellipse(p)
+    ell, none = fit_ellipse(p), float("nan")
+    covered = np.pi * ell[2] * ell[3] if ell else none
     turn = np.angle(np.exp(1j * np.diff(np.arctan2(*np.vstack([edge, edge[:1]]).T[::-1]))))
     return [
-        area, length, 4 * np.pi * area / length**2, best[0], 1 - best[2] / best[1] if best[1] else 0.0, area / best[0] if best[0] else 0.0, cx, cy,
-        float(np.sqrt(max(0.0, 1 - max(0.0, half - diff) / (half + diff)))) if half + diff > 0 else 0.0, float(np.rad2deg(0.5 * np.arctan2(2 * mxy, mxx - myy))), np.pi * ell[2] * ell[3] if ell else float("nan"), float((turn**2).mean()),
+        area, length, 4 * np.pi * area / length**2, best[0], best[2], 1 - best[2] / best[1], area / best[0], 4 * area / (np.pi * best[1] ** 2), cx, cy,
+        float(np.sqrt(max(0.0, 1 - max(0.0, half - diff) / (half + diff)))) if half + diff > 0 else 0.0, float(np.rad2deg(0.5 * np.arctan2(2 * mxy, mxx - myy))),
+        covered, area / covered if ell else none, ellipse_residual(p, ell) if ell else none, float((turn**2).mean()),
     ]
 
 
+def _area(p: np.ndarray) -> float:
+    q = np.roll(p, -1, axis=0)
+    return float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2)
+
+
 def contour_shapes(pixels: DataFrame) -> DataFrame:
-    """Shape parameters of each source's outline; sources whose outline has under 3 points or no area have none."""
+    """Shape parameters of each source's outline; sources whose outline has under 4 points or no area have none."""
 
     def one(pdf):
         import pandas as pd
@@ -165,28 +226,42 @@ def contour_shapes(pixels: DataFrame) -> DataFrame:
         p = contour_of(pdf["ix"].to_numpy(), pdf["iy"].to_numpy())
         cols = [c.split()[0] for c in SHAPE_SCHEMA.split(", ")]
         sid = int(pdf["source_id"].iloc[0])
-        if len(p) < 3:
-            return pd.DataFrame([[sid, len(p), *[None] * 12]], columns=cols)
+        if len(p) < 4 or _area(p) <= 0:
+            return pd.DataFrame([[sid, len(p), *[None] * (len(cols) - 2)]], columns=cols)
         return pd.DataFrame([[sid, len(p), *map(float, shape_of(p))]], columns=cols)
 
     return pixels.select("source_id", "ix", "iy").groupBy("source_id").applyInPandas(one, SHAPE_SCHEMA)
 
 
-def fourier_descriptors(pixels: DataFrame, n: int = 8) -> DataFrame:
-    """(source_id, k, modulus) of the outline resampled to 64 points: scale- and start-independent."""
+def fourier_descriptors(pixels: DataFrame, n: int = 8, of: str = "position") -> DataFrame:
+    """(source_id, k, modulus) of each source's outline: scale- and start-independent. Sources whose outline has under 4 points or no area have none.
+
+    of: "position", the outline resampled to 64 points as complex numbers, from k = 2 on; or "distance", the distances of
+    its points from the centroid, from k = 0 on. Both are divided by the first harmonic; where that is 0, as the
+    distances' is for outlines of half-turn symmetry, there are none.
+    """
+    if of not in ("position", "distance"):
+        raise ValueError(f"descriptors of {of!r}: position or distance")
 
     def one(pdf):
         import pandas as pd
 
         p = contour_of(pdf["ix"].to_numpy(), pdf["iy"].to_numpy())
         sid = int(pdf["source_id"].iloc[0])
-        if len(p) < 3:
-            return pd.DataFrame({"source_id": [], "k": [], "modulus": []}).astype({"source_id": "int64", "k": "int32", "modulus": "float64"})
-        q = np.vstack([p, p[:1]])
-        at = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(q, axis=0).T))])
-        t = np.linspace(0, at[-1], 64, endpoint=False)
-        f = np.fft.fft(np.interp(t, at, q[:, 0]) + 1j * np.interp(t, at, q[:, 1]))
-        return pd.DataFrame({"source_id": sid, "k": np.arange(2, 2 + n, dtype=np.int32), "modulus": np.abs(f[2 : 2 + n]) / abs(f[1])})
+        empty = pd.DataFrame({"source_id": [], "k": [], "modulus": []}).astype({"source_id": "int64", "k": "int32", "modulus": "float64"})
+        if len(p) < 4 or _area(p) <= 0:
+            return empty
+        if of == "distance":
+            f, low = np.fft.fft(np.hypot(*(p - shape_of(p)[8:10]).T)), 0
+        else:
+            q = np.vstack([p, p[:1]])
+            at = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(q, axis=0).T))])
+            t = np.linspace(0, at[-1], 64, endpoint=False)
+            f, low = np.fft.fft(np.interp(t, at, q[:, 0]) + 1j * np.interp(t, at, q[:, 1])), 2
+        if abs(f[1]) < 1e-9:
+            return empty
+        v = np.abs(f[low : low + n]) / abs(f[1])
+        return pd.DataFrame({"source_id": sid, "k": np.arange(low, low + len(v), dtype=np.int32), "modulus": v})
 
     return pixels.select("source_id", "ix", "iy").groupBy("source_id").applyInPandas(one, "source_id long, k int, modulus double")
 

@@ -163,7 +163,12 @@ def d30(spark, d):
 @query("d38_contour_shapes")
 def d38(spark, d):
     c = FT.contour_shapes(_sources(spark, d))
-    return out(c, "source_id", "n_points", **{k: k for k in ("area", "perimeter", "circularity", "elongation", "rectangularity", "cx", "cy", "eccentricity")})
+    return out(c, "source_id", "n_points", **{k: k for k in ("area", "perimeter", "circularity", "box_min", "elongation", "rectangularity", "roundness", "cx", "cy", "eccentricity", "ellipse_area_ratio", "ellipse_chi2")})
+
+
+@query("d44_centroid_distance")
+def d44(spark, d):
+    return out(FT.fourier_descriptors(_sources(spark, d), 6, "distance"), "source_id", "k", modulus="modulus")
 
 
 @query("d45_fourier_descriptors")

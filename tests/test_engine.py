@@ -133,7 +133,71 @@ def test_contours_and_ellipses():
     cx, cy, a, b, _ = FT.fit_ellipse(p)
     assert np.allclose([cx, cy, max(a, b), min(a, b)], [3, 7, 5, 2], atol=1e-6)
     s = FT.shape_of(p)
-    assert abs(s[0] - np.pi * 10) < 0.2 and np.allclose(s[6:8], [3, 7])
+    assert abs(s[0] - np.pi * 10) < 0.2 and np.allclose(s[8:10], [3, 7])
+
+
+def polygon_pixels(mask):
+    yy, xx = np.nonzero(mask)
+    return xx, yy
+
+
+def test_outlines_follow_concave_sources():
+    m = np.zeros((9, 9), bool)
+    m[1:8, 1:3] = m[1:3, 1:8] = True  # an L of two pixels' width
+    p = FT.contour_of(*polygon_pixels(m))
+    s = dict(zip([c.split()[0] for c in FT.SHAPE_SCHEMA.split(", ")][2:], FT.shape_of(p)))
+    # Through the centres: 6 x 6 less the notch, whose corner is cut by one diagonal step.
+    assert s["area"] == 6 * 1 + 5 * 1 + 0.5 and np.isclose(s["perimeter"], 6 + 1 + 4 + np.sqrt(2) + 4 + 1 + 6)
+    assert s["circularity"] < 0.3 and np.isclose(s["box_area"], s["box_min"] * s["box_min"] / (1 - s["elongation"]))
+    assert {(1.0, 1.0), (7.0, 1.0), (1.0, 7.0)} <= set(map(tuple, p.tolist())) and (7.0, 7.0) not in set(map(tuple, p.tolist()))
+
+
+def test_outlines_of_odd_sources():
+    assert FT.contour_of(np.array([4]), np.array([7])).tolist() == [[4, 7]]
+    assert sorted(FT.contour_of(np.array([4, 5]), np.array([7, 8])).tolist()) == [[4, 7], [5, 8]]
+    assert len(FT.contour_of(np.arange(6), np.zeros(6, int))) == 10
+    ring = np.ones((7, 7), bool)
+    ring[2:5, 2:5] = False
+    assert FT._area(FT.contour_of(*polygon_pixels(ring))) == 36 and len(FT.contour_of(*polygon_pixels(ring))) == 24
+    two = np.zeros((5, 12), bool)
+    two[0:2, 0:2] = two[1:5, 6:12] = True
+    assert FT.contour_of(*polygon_pixels(two)).min(axis=0).tolist() == [6, 1]
+    eight = np.zeros((5, 5), bool)
+    eight[0:3, 0:3] = eight[2:5, 2:5] = True  # two squares that share a corner pixel
+    assert FT._area(FT.contour_of(*polygon_pixels(eight))) == 9
+    rng = np.random.default_rng(3)
+    for _ in range(200):  # each border pixel of the largest part that touches the outside is on the outline, and no other
+        m = rng.random((8, 9)) < 0.55
+        if not m.any():
+            continue
+        lab = np.pad(D._runs(m, True), 1)
+        big = lab == np.bincount(lab[lab > 0]).argmax()
+        outside = D._runs(~big, False)
+        outside = outside == outside[0, 0]
+        near = np.zeros_like(big)
+        for dx, dy in FT.AROUND[::2]:
+            near |= np.roll(outside, (dy, dx), (0, 1))
+        want = {(int(x) - 1, int(y) - 1) for y, x in zip(*np.nonzero(big & near))}
+        assert {(int(x), int(y)) for x, y in FT.contour_of(*polygon_pixels(m))} == want
+
+
+def test_shapes_and_descriptors(spark):
+    yy, xx = np.mgrid[0:41, 0:41]
+    disc, bar = (xx - 20) ** 2 + (yy - 20) ** 2 <= 225, (abs(yy - 20) <= 2) & (abs(xx - 20) <= 15)
+    rows = [(k, int(x), int(y)) for k, m in enumerate((disc, bar)) for x, y in zip(*polygon_pixels(m))] + [(2, 0, 0), (2, 1, 0)]
+    px = spark.createDataFrame(rows, "source_id long, ix long, iy long")
+    s = {r.source_id: r for r in FT.contour_shapes(px).collect()}
+    assert s[2].area is None and s[2].n_points == 2
+    assert abs(s[0].cx - 20) < 1e-9 and s[0].circularity > 0.8 and abs(s[0].ellipse_area_ratio - 1) < 0.03 and s[0].ellipse_chi2 < 0.5
+    assert (s[1].area, s[1].perimeter, s[1].box_min) == (120, 68, 4) and np.isclose(s[1].elongation, 1 - 4 / 30) and s[1].rectangularity == 1
+    wedge = px.where("source_id = 0 AND (ix < 20 OR abs(iy - 20) < 4)").unionByName(px.where("source_id = 2"))
+    both = px.unionByName(wedge.where("source_id = 0").withColumn("source_id", F.lit(3).cast("long")))
+    position = FT.fourier_descriptors(both, 6).collect()
+    assert sorted((r.source_id, r.k) for r in position) == [(i, k) for i in (0, 1, 3) for k in range(2, 8)]
+    assert max(r.modulus for r in position if r.source_id == 0) < 0.05  # a disc is its first harmonic
+    distance = FT.fourier_descriptors(both, 6, "distance").collect()
+    assert [r.k for r in sorted(distance, key=lambda r: r.k) if r.source_id == 3] == list(range(6)) and {r.source_id for r in distance} == {3}
+    assert [r.modulus for r in distance if r.k == 1] == [1.0]
 
 
 def test_fits_round_trip(spark, tmp_path):
