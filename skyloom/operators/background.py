@@ -116,6 +116,21 @@ def local_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid
     return out
 
 
+def global_background(px: DataFrame, estimator: str = "median", w: str = "w") -> tuple[float, float]:
+    """Background and noise of the whole image, by distributed steps; NaN for an image without pixels."""
+    if estimator == "median":
+        return S.median_mad(px, w)
+    if estimator == "mean":
+        r = px.agg(F.avg(w).alias("bkg"), F.stddev_samp(w).alias("rms")).collect()[0]
+    elif estimator == "biweight":
+        r = S.biweight(px, [], w).select("location", "scale").collect()[0]
+    elif estimator == "clipped":
+        r = S.clipped(px, [], w, 3.0, 100, 0.1).select("median", "rms").collect()[0]
+    else:
+        raise ValueError(f"unknown estimator {estimator!r}: {', '.join(ESTIMATORS)}")
+    return tuple(float("nan") if v is None else v for v in r)
+
+
 def significance(px: DataFrame, threshold_noise: float = 0.0) -> DataFrame:
     """`px` (w, bkg, rms) with z = (w - bkg) / rms; 0 where the pixel is missing or there is no noise."""
     ok = (F.col("w") != 0) & (F.col("rms") > threshold_noise)

@@ -205,19 +205,24 @@ def nested_sources(px: DataFrame, mothers: DataFrame, shape: tuple[int, int], k:
     return held.drop("mother_id").join(ok, "source_id").select("mother_id", "source_id", "ix", "iy")
 
 
-def find_compact(px: DataFrame, shape: tuple[int, int], seed: float = 5.0, merge: float = 2.6, min_pixels: int = 5, box: tuple[int, int] | None = None, grid: tuple[int, int] | None = None, rounds: int = 1, step: float = 0.5) -> DataFrame:
+def find_compact(
+    px: DataFrame, shape: tuple[int, int], seed: float = 5.0, merge: float = 2.6, min_pixels: int = 5, box: tuple[int, int] | None = None, grid: tuple[int, int] | None = None, rounds: int = 1, step: float = 0.5,
+    negative: bool = False, merge_below_seed: bool = False, background=None,
+) -> DataFrame:
     """(source_id, ix, iy, w, z): local background, significance map, blobs; repeated with lower seeds on what is left.
 
     In each later round found sources are masked to 0, the background is estimated again and the seed threshold
-    falls by `step` as long as it is above the merge threshold.
+    falls by `step` as long as it is above the merge threshold. background: a function from pixels to pixels with
+    bkg and rms that takes the place of the local medians on `box` and `grid`.
     """
     box = box or (max(8, shape[0] // 4), max(8, shape[1] // 4))
     grid = grid or (max(1, box[0] // 2), max(1, box[1] // 2))
+    background = background or (lambda p: local_background(p, *shape, box, grid))
     left, every = px.select("ix", "iy", "w"), None
     for k in range(rounds):
-        z = significance(local_background(left, *shape, box, grid))
+        z = significance(background(left))
         z = written(z, "significance") if rounds > 1 else z
-        found = find_blobs(z.select("ix", "iy", "z"), shape, seed, merge, min_pixels).join(px.select("ix", "iy", "w"), ["ix", "iy"]).select("source_id", "ix", "iy", "w", "z")
+        found = find_blobs(z.select("ix", "iy", "z"), shape, seed, merge, min_pixels, negative, merge_below_seed).join(px.select("ix", "iy", "w"), ["ix", "iy"]).select("source_id", "ix", "iy", "w", "z")
         found = written(found, "found") if rounds > 1 else found
         every = found if every is None else every.unionByName(found)
         if k + 1 < rounds:
@@ -238,6 +243,31 @@ def selected(stats: DataFrame, min_box: int = 2, max_elongation: float = 3.0, n_
     return out.withColumns({"type": F.when(F.col("point_like"), 2).otherwise(1), "fittable": F.col("point_like") | (F.col("n_pix") / beam_pixels <= n_beams)})
 
 
+def selected_by_shape(
+    catalog: DataFrame, beam_pixels: float = 1.0, min_box: float | None = None, circularity: float | None = None, elongation: float | None = None, ellipse_ratio: tuple[float, float] | None = None,
+    n_beams: float | None = None, max_pixels: float | None = None, n_beams_to_fit: float = 20.0,
+) -> DataFrame:
+    """Catalog rows (blob_stats with the columns of contour_shapes) with good, point_like, fittable and type (1 compact, 2 point-like).
+
+    A cut that is None is not made, nor is one whose value a source's outline doesn't have. Good: the least box is at
+    least min_box wide. Point-like: circularity and elongation, ellipse_ratio within its range, at most n_beams and
+    max_pixels. Fittable: point-like, or of at most n_beams_to_fit.
+    """
+
+    def passes(column: str, low: float | None = None, high: float | None = None):
+        c, ok = F.col(column), F.lit(True)
+        ok = ok if low is None else ok & (c >= low)
+        ok = ok if high is None else ok & (c <= high)
+        return c.isNull() | F.isnan(c) | ok
+
+    beams = F.col("n_pix") / beam_pixels
+    good = passes("box_min", min_box)
+    point = passes("circularity", circularity) & passes("elongation", None, elongation) & passes("ellipse_area_ratio", *(ellipse_ratio or ()))
+    point = point if n_beams is None else point & (beams <= n_beams)
+    point = point if max_pixels is None else point & (F.col("n_pix") <= max_pixels)
+    return catalog.withColumns({"good": good, "point_like": good & point}).withColumns({"type": F.when(F.col("point_like"), 2).otherwise(1), "fittable": F.col("point_like") | (F.col("good") & (beams <= n_beams_to_fit))})
+
+
 def wavelet_sources(px: DataFrame, shape: tuple[int, int], scales: range, seed: float = 5.0, merge: float = 2.6, min_pixels: int = 5) -> DataFrame:
     """(source_id, ix, iy): blobs of the union of the significant pixels of several wavelet planes."""
     from .stats import median_mad

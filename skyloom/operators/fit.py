@@ -169,11 +169,24 @@ def fit_ellipse(p: np.ndarray) -> tuple[float, float, float, float, float] | Non
 
 
 SHAPE_SCHEMA = (
-    "source_id long, n_points int, area double, perimeter double, circularity double, box_area double, box_min double, elongation double, rectangularity double, roundness double, cx double, cy double, "
-    "eccentricity double, tilt double, ellipse_area double, ellipse_area_ratio double, ellipse_chi2 double, bending double"
+    "source_id long, n_points int, area double, perimeter double, circularity double, box_area double, elongation double, rectangularity double, cx double, cy double, eccentricity double, tilt double, "
+    "ellipse_area double, bending double, box_min double, roundness double, ellipse_area_ratio double, ellipse_chi2 double"
 )
 
 
+def least_box(p: np.ndarray) -> tuple[float, float]:
+    """Longer and shorter side of the rectangle of least area around points; the shorter is 0 for points on one line."""
+    hull, best = hull_of(p), None
+    if len(hull) < 3:
+        return float(np.hypot(*np.ptp(p, axis=0))), 0.0
+    for dx, dy in np.roll(hull, -1, axis=0) - hull:
+        n = np.hypot(dx, dy)
+        wide, high = np.ptp(hull @ [dx / n, dy / n]), np.ptp(hull @ [-dy / n, dx / n])
+        if best is None or wide * high < best[0] * best[1]:
+            best = (float(max(wide, high)), float(min(wide, high)))
+    return best
+
+
 def ellipse_residual(p: np.ndarray, e: tuple[float, float, float, float, float]) -> float:
     """Mean squared distance of points from an ellipse along the ray from its centre, over points less parameters; NaN with five points or fewer."""
     if len(p) <= len(e):
@@ -191,13 +204,7 @@ def shape_of(p: np.ndarray) -> list[float]:
     cross = p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]
     area, edge = cross.sum() / 2, q - p
     length = float(np.hypot(*edge.T).sum())
-    best, hull = None, hull_of(p)
-    for dx, dy in np.roll(hull, -1, axis=0) - hull:
-        n = np.hypot(dx, dy)
-        u, v = hull @ [dx / n, dy / n], hull @ [-dy / n, dx / n]
-        wide, high = np.ptp(u), np.ptp(v)
-        if best is None or wide * high < best[0]:
-            best = (wide * high, max(wide, high), min(wide, high))
+    wide, high = least_box(p)
     cx, cy = (((p[:, i] + q[:, i]) * cross).sum() / (6 * area) for i in (0, 1))
     mxx, myy = (((p[:, i] ** 2 + p[:, i] * q[:, i] + q[:, i] ** 2) * cross).sum() / (12 * area) - c * c for i, c in ((0, cx), (1, cy)))
     mxy = ((p[:, 0] * q[:, 1] + 2 * p[:, 0] * p[:, 1] + 2 * q[:, 0] * q[:, 1] + q[:, 0] * p[:, 1]) * cross).sum() / (24 * area) - cx * cy
@@ -206,9 +213,9 @@ def shape_of(p: np.ndarray) -> list[float]:
     covered = np.pi * ell[2] * ell[3] if ell else none
     turn = np.angle(np.exp(1j * np.diff(np.arctan2(*np.vstack([edge, edge[:1]]).T[::-1]))))
     return [
-        area, length, 4 * np.pi * area / length**2, best[0], best[2], 1 - best[2] / best[1], area / best[0], 4 * area / (np.pi * best[1] ** 2), cx, cy,
+        area, length, 4 * np.pi * area / length**2, wide * high, 1 - high / wide, area / (wide * high), cx, cy,
         float(np.sqrt(max(0.0, 1 - max(0.0, half - diff) / (half + diff)))) if half + diff > 0 else 0.0, float(np.rad2deg(0.5 * np.arctan2(2 * mxy, mxx - myy))),
-        covered, area / covered if ell else none, ellipse_residual(p, ell) if ell else none, float((turn**2).mean()),
+        covered, float((turn**2).mean()), high, 4 * area / (np.pi * wide**2), area / covered if ell else none, ellipse_residual(p, ell) if ell else none,
     ]
 
 
@@ -218,7 +225,7 @@ def _area(p: np.ndarray) -> float:
 
 
 def contour_shapes(pixels: DataFrame) -> DataFrame:
-    """Shape parameters of each source's outline; sources whose outline has under 4 points or no area have none."""
+    """Shape parameters of each source's outline; sources whose outline has under 4 points or no area have only box_min."""
 
     def one(pdf):
         import pandas as pd
@@ -227,7 +234,7 @@ def contour_shapes(pixels: DataFrame) -> DataFrame:
         cols = [c.split()[0] for c in SHAPE_SCHEMA.split(", ")]
         sid = int(pdf["source_id"].iloc[0])
         if len(p) < 4 or _area(p) <= 0:
-            return pd.DataFrame([[sid, len(p), *[None] * (len(cols) - 2)]], columns=cols)
+            return pd.DataFrame([{**dict.fromkeys(cols), "source_id": sid, "n_points": len(p), "box_min": least_box(p)[1]}], columns=cols)
         return pd.DataFrame([[sid, len(p), *map(float, shape_of(p))]], columns=cols)
 
     return pixels.select("source_id", "ix", "iy").groupBy("source_id").applyInPandas(one, SHAPE_SCHEMA)
@@ -252,7 +259,7 @@ def fourier_descriptors(pixels: DataFrame, n: int = 8, of: str = "position") ->
         if len(p) < 4 or _area(p) <= 0:
             return empty
         if of == "distance":
-            f, low = np.fft.fft(np.hypot(*(p - shape_of(p)[8:10]).T)), 0
+            f, low = np.fft.fft(np.hypot(*(p - shape_of(p)[6:8]).T)), 0
         else:
             q = np.vstack([p, p[:1]])
             at = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(q, axis=0).T))])
