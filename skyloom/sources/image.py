@@ -50,9 +50,10 @@ def shape(px: DataFrame) -> tuple[int, int]:
     return (r[0] + 1, r[1] + 1) if r[0] is not None else (0, 0)
 
 
-def image_files(spark: SparkSession, path: str, flip_x: bool = False) -> DataFrame:
-    """png, jpg, bmp or gif as grey pixels, rows counted from the bottom."""
-    im = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+def image_files(spark: SparkSession, path: str, flip_x: bool = False, skip_unreadable: bool = False) -> DataFrame:
+    """png, jpg, bmp or gif as grey pixels, rows counted from the bottom. Files that can't be decoded are an error, or left out by skip_unreadable."""
+    im = spark.read.format("image").option("dropInvalid", skip_unreadable).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    im = im.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), F.coalesce("origin", F.lit("?")))).cast("int")))
 
     def at(c, n):
         return F.conv(F.hex(F.substring(F.col("data"), (c + 1).cast("int"), F.lit(n))), 16, 10).cast("double")
