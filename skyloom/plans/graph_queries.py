@@ -127,7 +127,14 @@ def g22(spark, d):
     return GR.undirected(K.neighbours_of_labels(labelled(spark, d)).select("a", "b")).groupBy("a").agg(F.count("*").alias("degree"), F.min("b").alias("first_neighbour"))
 
 
-@query("g24_density_clusters")
+_DENSITY = f"""WITH RECURSIVE {_PAIRS}, one AS (SELECT a, b FROM nb JOIN pr USING (a, b) WHERE dc <= 0.006), two AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+core AS (SELECT a AS label FROM two GROUP BY a HAVING count(*) >= 2), link AS (SELECT a, b FROM two WHERE a IN (FROM core) AND b IN (FROM core)),
+walk AS (SELECT label AS id, label AS root FROM core UNION SELECT link.b, walk.root FROM walk JOIN link ON link.a = walk.id), comp AS (SELECT id, min(root) AS cluster FROM walk GROUP BY id),
+rim AS (SELECT a AS id, min(cluster) AS cluster FROM two JOIN comp ON b = id WHERE a NOT IN (FROM core) GROUP BY a)
+SELECT label, coalesce(comp.cluster, rim.cluster, -1) AS cluster FROM reg LEFT JOIN comp ON comp.id = label LEFT JOIN rim ON rim.id = label"""
+
+
+@query("g24_density_clusters", _DENSITY)
 def g24(spark, d):
     return SG.density_clusters(regions(spark, d), K.neighbours_of_labels(labelled(spark, d)), 0.006, 2)
 

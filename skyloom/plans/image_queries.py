@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -322,7 +324,11 @@ def d01(spark, d):
     return out(B.significance(B.local_background(px, *s, BOX, GRIDSTEP)), "ix", "iy", z="z")
 
 
-@query("d02_second_pass")
+#: The same maps of what is left of the image: CTEs of `_MAPS` on the residual, all names with a 2.
+_AGAIN = re.sub(r"\b(xs|ys|sm|s|nodes|mx|u|v|maps)\b", r"\g<1>2", _MAPS[_MAPS.index("xs AS") :]).replace("img", "rest")
+
+
+@query("d02_second_pass", f"WITH {_MAPS}, rest AS (SELECT ix, iy, w - bkg AS w FROM maps), {_AGAIN} SELECT ix, iy, {r('maps.bkg')} AS bkg, {r('maps2.rms')} AS rms FROM maps JOIN maps2 USING (ix, iy)")
 def d02(spark, d):
     px, s = image(spark, d)
     return out(B.local_background(px, *s, BOX, GRIDSTEP, second_pass=True), "ix", "iy", bkg="bkg", rms="rms")

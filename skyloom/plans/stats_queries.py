@@ -130,7 +130,15 @@ def p11(spark, d):
     return out(embedding_image(spark, d), "ix", "iy", ra=ra, dec=dec)
 
 
-@query("p12_to_galactic")
+#: Unit vectors of the pixels (tangent plane about 180, -30 degrees) and their parts along the galactic axes.
+_GALACTIC = f"""WITH {IMG}, t AS (SELECT ix, iy, radians((ix + 1 - 32) * -0.01) AS xi, radians((iy + 1 - 250) * 0.01) AS eta FROM img),
+c AS (SELECT radians(180.0) AS a0, radians(-30.0) AS d0, radians(192.85948) AS ap, radians(27.12825) AS dp, radians(122.93192) AS lp),
+v AS (SELECT ix, iy, ap, dp, lp, cos(d0) * cos(a0) - xi * sin(a0) - eta * sin(d0) * cos(a0) AS x, cos(d0) * sin(a0) + xi * cos(a0) - eta * sin(d0) * sin(a0) AS y, sin(d0) + eta * cos(d0) AS z, sqrt(1 + xi * xi + eta * eta) AS len FROM t, c),
+g AS (SELECT ix, iy, degrees(lp - atan2(y * cos(ap) - x * sin(ap), z * cos(dp) - sin(dp) * (x * cos(ap) + y * sin(ap)))) AS lon, degrees(asin((z * sin(dp) + cos(dp) * (x * cos(ap) + y * sin(ap))) / len)) AS lat FROM v)
+SELECT ix, iy, {r('(lon % 360 + 360) % 360')} AS l, {r('lat')} AS b FROM g"""
+
+
+@query("p12_to_galactic", _GALACTIC)
 def p12(spark, d):
     ra, dec = C.tan_world(F.col("ix"), F.col("iy"), 32.0, 250.0, 180.0, -30.0, -0.01, 0.01)
     lon, lat = C.galactic(ra, dec)
@@ -169,7 +177,11 @@ def p16(spark, d):
     return out(e.select("vec_id", F.posexplode(C.min_max_array(F.col("e"), 0.0, 1.0)).alias("pos", "v")).withColumn("pos", F.col("pos").cast("long")), "vec_id", "pos", v="v")
 
 
-@query("p17_contour_scales")
+#: The complementary error function as Simpson's sum of its integral, 6 wide in steps of 0.003.
+_ERFC = "2 / sqrt(pi()) * 0.001 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(k / sqrt(2) + i * 0.003, 2)))"
+
+
+@query("p17_contour_scales", f"SELECT k::DOUBLE AS n, {r(f'sqrt(-2 * ln({_ERFC}))')} AS sigma, {r('sqrt(2 * k * ln(10))')} AS cl FROM range(1, 6) a(k), range(0, 2001) b(i) GROUP BY k")
 def p17(spark, d):
     n = spark.range(1, 6).select(F.col("id").cast("double").alias("n"))
     return out(n, "n", sigma=C.sigma_contour_scale(F.col("n")), cl=C.cl_contour_scale(1 - F.pow(F.lit(0.1), F.col("n"))))
@@ -343,7 +355,15 @@ def a17(spark, d):
     return out(e.crossJoin(F.broadcast(c)), "iy", dist=v)
 
 
-@query("a18_pagerank")
+_RANKS = f"""WITH RECURSIVE v AS (SELECT o_orderkey % 25 AS src, c_nationkey AS dst, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+e AS (SELECT src, dst, v / sum(v) OVER (PARTITION BY src) AS weight FROM v), nodes AS (SELECT src AS id FROM e UNION SELECT dst FROM e), size AS (SELECT count(*) AS n FROM nodes),
+steps AS (SELECT 0 AS k, id, 1 / sqrt(n) AS rank, 1.0::DOUBLE AS moved FROM nodes, size UNION ALL
+SELECT k + 1, id, flow / len, sqrt(sum(pow(flow / len - rank, 2)) OVER ()) FROM (SELECT *, sqrt(sum(flow * flow) OVER ()) AS len FROM
+(SELECT k, id, rank, 0.85 * coalesce(f, 0) + 0.15 / n * sum(rank) OVER () AS flow FROM steps CROSS JOIN size LEFT JOIN (SELECT dst, sum(weight * rank) AS f FROM e JOIN steps ON src = id GROUP BY dst) ON dst = id WHERE moved >= 1e-4)))
+SELECT id, {r('rank')} AS rank FROM steps WHERE k = (SELECT max(k) FROM steps)"""
+
+
+@query("a18_pagerank", _RANKS)
 def a18(spark, d):
     e = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy((F.col("o_orderkey") % 25).alias("src"), F.col("c_nationkey").cast("long").alias("dst")).agg(F.sum("o_totalprice").alias("v"))
     e = e.withColumn("weight", F.col("v") / F.sum("v").over(Window.partitionBy("src"))).select("src", "dst", "weight")
