@@ -198,7 +198,15 @@ def w17(spark, d):
     return out(m, "ix", "iy", **{{"open": "opened", "close": "closed"}.get(op, op): op for op in ST.MORPHOLOGY})
 
 
-@query("w18_find_peaks")
+_PEAKS = f"""WITH RECURSIVE {DIMS}, {", ".join(_win("max", "img", f"d{h}", h) for h in (1, 2, 3))},
+tops AS ({" UNION ALL ".join(f"SELECT {h} AS h, ix, iy FROM img JOIN d{h} USING (ix, iy), dims WHERE img.w = d{h}.w AND ix BETWEEN {h} AND 63 - {h} AND iy BETWEEN {h} AND ny - 1 - {h}" for h in (1, 2, 3))}),
+spots AS (SELECT DISTINCT ix, iy, iy * 64 + ix AS id FROM tops),
+near AS (SELECT a.id AS a, b.id AS b FROM spots a, range(-2, 3) x(dx), range(-2, 3) y(dy) JOIN spots b ON b.ix = a.ix + dx AND b.iy = a.iy + dy WHERE a.id <> b.id),
+walk AS (SELECT id, id AS root FROM spots UNION SELECT near.b, walk.root FROM walk JOIN near ON near.a = walk.id), comp AS (SELECT id, min(root) AS peak FROM walk GROUP BY id)
+SELECT peak, count(DISTINCT h) AS n_kernels, {r("avg(ix)")} AS x, {r("avg(iy)")} AS y FROM tops JOIN spots USING (ix, iy) JOIN comp USING (id) GROUP BY peak HAVING count(DISTINCT h) >= 2"""
+
+
+@query("w18_find_peaks", _PEAKS)
 def w18(spark, d):
     px, s = image(spark, d)
     return out(ST.find_peaks(px, s, (3, 5, 7), 2, 2), "peak", "n_kernels", x="x", y="y")
@@ -324,11 +332,12 @@ def d01(spark, d):
     return out(B.significance(B.local_background(px, *s, BOX, GRIDSTEP)), "ix", "iy", z="z")
 
 
-#: The same maps of what is left of the image: CTEs of `_MAPS` on the residual, all names with a 2.
-_AGAIN = re.sub(r"\b(xs|ys|sm|s|nodes|mx|u|v|maps)\b", r"\g<1>2", _MAPS[_MAPS.index("xs AS") :]).replace("img", "rest")
+def again(src: str) -> str:
+    """CTEs of `_MAPS` on another image, all names with a 2."""
+    return re.sub(r"\b(xs|ys|sm|s|nodes|mx|u|v|maps)\b", r"\g<1>2", _MAPS[_MAPS.index("xs AS") :]).replace("img", src)
 
 
-@query("d02_second_pass", f"WITH {_MAPS}, rest AS (SELECT ix, iy, w - bkg AS w FROM maps), {_AGAIN} SELECT ix, iy, {r('maps.bkg')} AS bkg, {r('maps2.rms')} AS rms FROM maps JOIN maps2 USING (ix, iy)")
+@query("d02_second_pass", f"WITH {_MAPS}, rest AS (SELECT ix, iy, w - bkg AS w FROM maps), {again('rest')} SELECT ix, iy, {r('maps.bkg')} AS bkg, {r('maps2.rms')} AS rms FROM maps JOIN maps2 USING (ix, iy)")
 def d02(spark, d):
     px, s = image(spark, d)
     return out(B.local_background(px, *s, BOX, GRIDSTEP, second_pass=True), "ix", "iy", bkg="bkg", rms="rms")
@@ -377,14 +386,27 @@ def d06(spark, d):
     return out(D.find_compact(px, s, 2.5, 1.5, 3, BOX, GRIDSTEP), "source_id", "ix", "iy", w="w", z="z")
 
 
-@query("d07_nested_sources")
+_NESTED = f"""{ZMAP}, {comp_sql("t", 2.5, 0.8, 4)}, {conv("curv", "img", -ST.LAPLACE)}, dims AS (SELECT count(*) AS ny FROM embeddings), cm AS (SELECT median(w) AS med FROM curv), cn AS (SELECT 1.4826 * median(abs(w - med)) AS rms FROM curv, cm),
+inner_map AS (SELECT ix, iy, curv.w / rms AS z, curv.w, source_id AS mother FROM curv JOIN blobst USING (ix, iy), cn WHERE curv.w >= rms), {comp_sql("i", 1, 1, 1, "inner_map")},
+held AS (SELECT source_id, ix, iy, mother FROM blobsi JOIN inner_map USING (ix, iy)), one AS (SELECT source_id, min(mother) AS mother_id, count(*) AS n, avg(ix) AS x, avg(iy) AS y FROM held GROUP BY 1),
+big AS (SELECT source_id AS mother_id, count(*) AS mn, avg(ix) AS mx, avg(iy) AS my FROM blobst GROUP BY 1), q AS (SELECT *, count(*) OVER (PARTITION BY mother_id) AS sisters FROM one JOIN big USING (mother_id))
+SELECT mother_id, source_id, ix, iy FROM held JOIN q USING (source_id) WHERE sisters > 1 OR sqrt(pow(x - mx, 2) + pow(y - my, 2)) > 1 OR n / mn < 0.9"""
+
+
+@query("d07_nested_sources", _NESTED)
 def d07(spark, d):
     px, s = image(spark, d)
     mothers = blobs(spark, d, 2.5, 0.8, 4)[0].select("source_id", "ix", "iy")
     return D.nested_sources(px, mothers, s, 1.0, 1, 1.0, 0.9)
 
 
-@query("d09_iterative_search")
+_Z = "CASE WHEN w <> 0 AND rms > 0 THEN (w - bkg) / rms ELSE 0 END AS z"
+_ROUNDS = f"""WITH RECURSIVE {_MAPS}, za AS (SELECT ix, iy, w, {_Z} FROM maps), {comp_sql("a", 3.5, 1.8, 2, "za")}, masked AS (SELECT img.ix, img.iy, CASE WHEN source_id IS NULL THEN img.w ELSE 0 END AS w FROM img LEFT JOIN blobsa USING (ix, iy)),
+{again("masked")}, zb AS (SELECT ix, iy, w, {_Z} FROM maps2), {comp_sql("b", 3.0, 1.8, 2, "zb")}
+SELECT source_id, ix, iy, {r("z")} AS z FROM blobsa UNION ALL SELECT source_id, ix, iy, {r("z")} FROM blobsb"""
+
+
+@query("d09_iterative_search", _ROUNDS)
 def d09(spark, d):
     px, s = image(spark, d)
     return out(D.find_compact(px, s, 3.5, 1.8, 2, BOX, GRIDSTEP, rounds=2), "source_id", "ix", "iy", z="z")
@@ -399,7 +421,13 @@ def d12(spark, d):
     return _w(D.residual_map(embedding_image(spark, d), b, 3, s))
 
 
-@query("d22_wavelet_sources")
+_PLANES = f"""WITH RECURSIVE {DIMS}, {conv("f1", "img", ST.B3, "mirror")}, {conv("f2", "f1", ST.B3, "mirror", 2)},
+planes AS (SELECT 1 AS s, ix, iy, img.w - f1.w AS w FROM img JOIN f1 USING (ix, iy) UNION ALL SELECT 2, ix, iy, f1.w - f2.w FROM f1 JOIN f2 USING (ix, iy)),
+pm AS (SELECT s, median(w) AS med FROM planes GROUP BY s), pn AS (SELECT s, first(med) AS med, 1.4826 * median(abs(w - med)) AS rms FROM planes JOIN pm USING (s) GROUP BY s),
+top AS (SELECT ix, iy, max((w - med) / rms) AS z, 0 AS w FROM planes JOIN pn USING (s) GROUP BY ix, iy), {comp_sql("w", 3.5, 2.0, 2, "top")} SELECT source_id, ix, iy FROM blobsw"""
+
+
+@query("d22_wavelet_sources", _PLANES)
 def d22(spark, d):
     px, s = image(spark, d)
     return D.wavelet_sources(px, s, range(1, 3), 3.5, 2.0, 2)
@@ -556,7 +584,17 @@ def d34(spark, d):
     return m.agg(F.count("*").alias("n_sources"), F.sum("n").alias("n_pix"), F.max("n").alias("largest"))
 
 
-@query("d33_merge_adjacent")
+_TOUCHING = f"""{ZMAP}, {comp_sql("t", 1.5, 1.5, 1)}, p AS (SELECT *, ix // 32 AS tx, iy // 100 AS ty FROM blobst),
+box AS (SELECT tx, ty, source_id, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM p GROUP BY ALL),
+tiles AS (SELECT a.i AS tx, b.j AS ty, 32 * a.i AS tx0, 32 * a.i + 31 AS tx1, 100 * b.j AS ty0, least(100 * b.j + 100, {NY}) - 1 AS ty1 FROM range(2) a(i), range(1000) b(j) WHERE 100 * b.j + 1 < {NY}),
+edge AS (SELECT DISTINCT box.tx, box.ty, source_id FROM box JOIN tiles n ON abs(n.tx - box.tx) <= 1 AND abs(n.ty - box.ty) <= 1 AND (n.tx, n.ty) <> (box.tx, box.ty) WHERE x0 - 1 <= tx1 AND tx0 <= x1 + 1 AND y0 - 1 <= ty1 AND ty0 <= y1 + 1),
+rim AS (SELECT p.source_id, ix, iy FROM p JOIN edge USING (tx, ty, source_id)),
+near AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM rim a, range(-1, 2) x(dx), range(-1, 2) y(dy) JOIN rim b ON b.ix = a.ix + dx AND b.iy = a.iy + dy WHERE a.source_id <> b.source_id),
+walk AS (SELECT a AS id, a AS root FROM near UNION SELECT near.b, walk.root FROM walk JOIN near ON near.a = walk.id), comp AS (SELECT id, min(root) AS root FROM walk GROUP BY id)
+SELECT coalesce(root, source_id) AS source_id, count(*) AS n_pix FROM blobst LEFT JOIN comp ON id = source_id GROUP BY 1"""
+
+
+@query("d33_merge_adjacent", _TOUCHING)
 def d33(spark, d):
     b, s = blobs(spark, d, 1.5, 1.5, 1)
     m = K.merge_across_tiles(b.withColumn("tile_id", F.floor(F.col("iy") / 100) * 2 + F.floor(F.col("ix") / 32)), K.tiles(spark, *s, 32, 100))
