@@ -240,7 +240,19 @@ def w26(spark, d):
     return _w(ST.bilateral_filter(px, 5, 0.1, 2.0, s)).where(F.col("ix").between(2, 61) & F.col("iy").between(2, s[1] - 3))
 
 
-@query("w27_canny")
+def _mirrored(e: str, n: str) -> str:
+    return f"CASE WHEN {e} < 0 THEN -({e}) WHEN {e} >= {n} THEN 2 * ({n} - 1) - ({e}) ELSE {e} END"
+
+
+_EDGES = f"""WITH RECURSIVE {DIMS}, {conv("gx", "img", ST.SOBEL_X, "mirror", turn=False)}, {conv("gy", "img", ST.SOBEL_X.T, "mirror", turn=False)}, way(d, dx, dy) AS (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1)),
+g AS (SELECT gx.ix, gx.iy, sqrt(gx.w * gx.w + gy.w * gy.w) AS w, (round(atan2(gy.w, gx.w) / (pi() / 4))::INT % 4 + 4) % 4 AS d FROM gx JOIN gy USING (ix, iy)),
+sides AS (SELECT ix, iy, w, s.i, {_mirrored("ix + s.i * dx", "64")} AS jx, {_mirrored("iy + s.i * dy", "ny")} AS jy FROM g JOIN way USING (d), (VALUES (1), (-1)) s(i), dims),
+thin AS (SELECT sides.ix, sides.iy, sides.w, sides.iy * 64 + sides.ix AS id FROM sides JOIN g ON g.ix = jx AND g.iy = jy WHERE sides.w >= 0.6 GROUP BY ALL HAVING bool_and(sides.w >= g.w)),
+near AS (SELECT a.id AS a, b.id AS b FROM thin a, range(-1, 2) x(dx), range(-1, 2) y(dy) JOIN thin b ON b.ix = a.ix + dx AND b.iy = a.iy + dy WHERE a.id <> b.id),
+walk AS (SELECT id FROM thin WHERE w >= 1.2 UNION SELECT near.b FROM walk JOIN near ON near.a = walk.id) SELECT ix, iy FROM thin SEMI JOIN walk USING (id)"""
+
+
+@query("w27_canny", _EDGES)
 def w27(spark, d):
     px, s = image(spark, d)
     return ST.canny(px, s, 0.6, 2.0)
@@ -261,7 +273,12 @@ def w29(spark, d):
     return _w(ST.gabor_bank(px, 7, 4, 2.0, 4.0, 0.5, 0.0, s))
 
 
-@query("w30_skeleton")
+_BONES = f"""WITH RECURSIVE {DIMS}, {conv("soft", "img", _GAUSS, "mirror")}, o(dx, dy) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)),
+worn AS (SELECT 0 AS k, ix, iy FROM soft WHERE w >= 0.02 UNION ALL SELECT k + 1, ix - dx, iy - dy FROM worn, o GROUP BY ALL HAVING count(*) = 5),
+opened AS (SELECT DISTINCT k - 1 AS k, ix + dx AS ix, iy + dy AS iy FROM worn, o WHERE k > 0) SELECT DISTINCT ix, iy FROM worn ANTI JOIN opened USING (k, ix, iy)"""
+
+
+@query("w30_skeleton", _BONES)
 def w30(spark, d):
     px, s = image(spark, d)
     return ST.skeleton(ST.convolve(px, _GAUSS, s, "mirror"), 0.02, 3, s, 10)
@@ -280,7 +297,12 @@ def w32(spark, d):
     return out(px.join(lap, ["ix", "iy"]), "ix", "iy", w=F.col("w") - 0.3 * F.col("l"))
 
 
-@query("w35_multi_scale_mask")
+_SCALES = {f"s{i}": -ST.norm_log_kernel(n, sigma) for i, (n, sigma) in enumerate(((7, 1.0), (9, 1.5), (13, 2.0)))}
+_MULTI = f"""WITH {DIMS}, {", ".join(conv(n, "img", k, "mirror") for n, k in _SCALES.items())}, f AS ({" UNION ALL ".join(f"SELECT '{n}' AS s, ix, iy, w FROM {n}" for n in _SCALES)}),
+q AS (SELECT s, 2 * stddev_pop(w) AS least FROM f GROUP BY s) SELECT ix, iy, count(*)::INT AS n_scales FROM f JOIN q USING (s) WHERE w >= least GROUP BY ix, iy"""
+
+
+@query("w35_multi_scale_mask", _MULTI)
 def w35(spark, d):
     px, s = image(spark, d)
     return ST.multi_scale_mask(px, s, [1.0, 1.5, 2.0]).where("n_scales > 0")
