@@ -103,12 +103,36 @@ def g07(spark, d):
     return SG.chan_vese(px, s, 20).groupBy("iy").agg(F.sum("w").alias("inside"))
 
 
-@query("g18_mutual_merge")
+def _nearest_sql(k: int, limit: float) -> str:
+    """CTEs of a round of merging: pair{k} (neighbours of lab{k} nearer than the limit) from regions{k} and touch{k}."""
+    return f"""regions{k} AS (SELECT label, avg(w) AS mean, coalesce(stddev_samp(w), 0) AS rms FROM lab{k} GROUP BY 1),
+touch{k} AS (SELECT least(a.label, b.label) AS a, greatest(a.label, b.label) AS b FROM lab{k} a, (VALUES (1, 0), (0, 1), (1, 1), (1, -1)) st(dx, dy) JOIN lab{k} b ON b.ix = a.ix + dx AND b.iy = a.iy + dy WHERE a.label <> b.label GROUP BY 1, 2 HAVING count(*) >= 2),
+pair{k} AS (SELECT a, b, sqrt(pow(x.mean - y.mean, 2) + pow(x.rms - y.rms, 2)) AS d FROM touch{k} JOIN regions{k} x ON x.label = a JOIN regions{k} y ON y.label = b WHERE d < {limit})"""
+
+
+def _best_sql(k: int, pairs: str) -> str:
+    return f"best{k} AS (SELECT a, b FROM (SELECT a, b, d FROM {pairs} UNION ALL SELECT b, a, d FROM {pairs}) QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1)"
+
+
+def _mutual_sql(k: int) -> str:
+    return f"{_nearest_sql(k, 0.004)}, {_best_sql(k, f'pair{k}')}, lab{k + 1} AS (SELECT ix, iy, w, coalesce(x.a, label) AS label FROM lab{k} LEFT JOIN best{k} y ON y.a = label AND y.b < y.a LEFT JOIN best{k} x ON x.a = y.b AND x.b = label)"
+
+
+def _level_sql(k: int) -> str:
+    return f"""{_nearest_sql(k, 0.01)}, alike{k} AS (SELECT * FROM pair{k} WHERE d <= (SELECT quantile_disc(d, 0.3) FROM pair{k}) AND (SELECT count(*) FROM regions{k}) > 10), {_best_sql(k, f"alike{k}")},
+both{k} AS (SELECT a, b FROM best{k} UNION SELECT b, a FROM best{k}), walk{k} AS (SELECT a AS id, a AS root FROM both{k} UNION SELECT both{k}.b, root FROM walk{k} JOIN both{k} ON both{k}.a = id), comp{k} AS (SELECT id, min(root) AS root FROM walk{k} GROUP BY id),
+lab{k + 1} AS (SELECT ix, iy, w, coalesce(root, label) AS label FROM lab{k} LEFT JOIN comp{k} ON id = label)"""
+
+
+_START = f"WITH RECURSIVE {_LAB}, lab0 AS (SELECT ix, iy, w, label FROM lab)"
+
+
+@query("g18_mutual_merge", f"{_START}, {_mutual_sql(0)}, {_mutual_sql(1)} SELECT label, count(*) AS n FROM lab2 GROUP BY 1")
 def g18(spark, d):
     return SG.merge_mutual(labelled(spark, d).select("ix", "iy", "w", "label"), 0.004, 2).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("g19_hierarchical_merge")
+@query("g19_hierarchical_merge", f"{_START}, {_level_sql(0)}, {_level_sql(1)} SELECT label, count(*) AS n FROM lab2 GROUP BY 1")
 def g19(spark, d):
     return SG.merge_hierarchical(labelled(spark, d).select("ix", "iy", "w", "label"), 0.3, 0.01, 10, 2).groupBy("label").agg(F.count("*").alias("n"))
 

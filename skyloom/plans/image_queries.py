@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -478,7 +479,13 @@ def a37(spark, d):
     return out(D.image_moments(blobs(spark, d)[0]), "source_id", nu20="nu20", nu11="nu11", nu02="nu02", hu1="hu1", hu2="hu2")
 
 
-@query("a38_zernike")
+_RADIAL = ", ".join(f"({n}, {m}, {n - 2 * i}, {(-1) ** i * math.comb(n - i, i) * math.comb(n - 2 * i, (n - m) // 2 - i)})" for n in range(5) for m in range(n % 2, n + 1, 2) for i in range((n - m) // 2 + 1))
+_ZERNIKE = f"""{ZMAP}, {TRUE}, box AS (SELECT source_id, (min(ix) + max(ix)) / 2 AS cx, (min(iy) + max(iy)) / 2 AS cy, sqrt(pow(max(ix) - min(ix) + 1, 2) + pow(max(iy) - min(iy) + 1, 2)) / 2 AS half, sum(w) AS total FROM blobst GROUP BY 1),
+polar AS (SELECT source_id, w / total AS f, sqrt(pow(ix - cx, 2) + pow(iy - cy, 2)) / half AS rho, atan2(iy - cy, ix - cx) AS phi FROM blobst JOIN box USING (source_id)), radial(n, l, p, c) AS (VALUES {_RADIAL}),
+sums AS (SELECT source_id, n, l, sum(c * pow(rho, p) * f * cos(l * phi)) AS re, sum(c * pow(rho, p) * f * sin(l * phi)) AS im FROM polar, radial WHERE rho <= 1 GROUP BY 1, 2, 3) SELECT source_id, n, l, {r("(n + 1) / pi() * sqrt(re * re + im * im)")} AS modulus FROM sums"""
+
+
+@query("a38_zernike", _ZERNIKE)
 def a38(spark, d):
     return out(D.zernike(blobs(spark, d)[0], 4), "source_id", "n", "l", modulus="modulus")
 

@@ -342,7 +342,19 @@ def a15(spark, d):
     return out(S.clipped(px, ["band"], k=2.0, rounds=4, tol=0.001), "band", "n", mean="mean", median="median", rms="rms")
 
 
-@query("a16_biweight")
+def biweight_sql(values: str, *keys: str) -> str:
+    """Tukey's biweight of x by keys of the query `values`, step by step until it settles, ten steps at most."""
+    k = ", ".join(keys)
+    return f"""WITH RECURSIVE v AS ({values}), m AS (SELECT {k}, count(*) AS n, median(x) AS loc FROM v GROUP BY {k}),
+first_step AS (SELECT {k}, n, loc, 1.4826 * median(abs(x - loc)) AS scale FROM v JOIN m USING ({k}) GROUP BY {k}, n, loc),
+steps AS (SELECT 0 AS i, {k}, n, loc, scale, scale > 0 AS moving FROM first_step UNION ALL
+SELECT i + 1, {k}, n, new_loc, new_scale, abs(new_scale - scale) / scale > 1e-4 OR abs(new_loc - loc) > 1e-4 * new_scale FROM
+(SELECT i, {k}, n, loc, scale, loc + sum(t * g * g) / sum(g * g) AS new_loc, CASE WHEN abs(sum(g * (5 * g - 4))) > 1 THEN sqrt(n * sum(t * t * pow(g, 4))) / abs(sum(g * (5 * g - 4))) ELSE scale END AS new_scale FROM
+(SELECT i, {k}, n, loc, scale, x - loc AS t, 1 - pow((x - loc) / (6 * scale), 2) AS g FROM steps JOIN v USING ({k}) WHERE moving AND i < 10) WHERE g >= 0 GROUP BY i, {k}, n, loc, scale))
+SELECT {k}, n, {rs(location="loc", scale="scale")} FROM steps QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY i DESC) = 1"""
+
+
+@query("a16_biweight", biweight_sql("SELECT event_type, value AS x FROM events", "event_type"))
 def a16(spark, d):
     return out(S.biweight(table(spark, d, "events"), ["event_type"], "value"), "event_type", "n", location="location", scale="scale")
 
@@ -391,7 +403,7 @@ def a24(spark, d):
     return out(S.clipped_tiles(tiled(embedding_image(spark, d)), ["tx", "ty"], k=2.5, rounds=4, tol=0.01), "tx", "ty", "n", mean="mean", median="median", rms="rms")
 
 
-@query("a25_tile_biweight")
+@query("a25_tile_biweight", biweight_sql(f"WITH {TILED} SELECT tx, ty, w AS x FROM t", "tx", "ty"))
 def a25(spark, d):
     return out(S.biweight(tiled(embedding_image(spark, d)), ["tx", "ty"]), "tx", "ty", "n", location="location", scale="scale")
 
