@@ -11,7 +11,7 @@ from . import detect as D
 from . import segment as SG
 from . import stats as S
 from . import stencil as ST
-from .catalog import largest_component, merge_pixels, overlapping, shared_pixels
+from .catalog import merge_pixels, overlapping, shared_pixels
 from .graph import written
 
 
@@ -90,7 +90,7 @@ def divergence(a: DataFrame, b: DataFrame, columns: list[str], k: int = 3) -> Da
 def saliency_global(r: DataFrame, falloff: float) -> DataFrame:
     """(label, saliency): 1 minus the normalised sum over all regions of exp(-falloff * distance)."""
     p = SG.region_pairs(r).groupBy(F.col("label_a").alias("label")).agg(F.sum(F.exp(-falloff * SG.colour_distance())).alias("s"))
-    return p.select("label", (1 - SG._unit("s")).alias("saliency"))
+    return SG.scaled(p, "s").select("label", (1 - F.col("s")).alias("saliency"))
 
 
 def saliency_two_gaussians(r: DataFrame, sigma_space: float, sigma_colour: float, k: float) -> DataFrame:
@@ -101,14 +101,14 @@ def saliency_two_gaussians(r: DataFrame, sigma_space: float, sigma_colour: float
     # A region counts for itself as well.
     cols = r.columns
     a, b = (r.select(*[F.col(c).alias(f"{c}_{s}") for c in cols]) for s in "ab")
-    p = a.crossJoin(F.broadcast(b)).select("label_a", "x_b", "y_b", SG.colour_distance().alias("dc"), SG.space_distance().alias("ds"))
+    p = a.crossJoin(b).select("label_a", "x_b", "y_b", SG.colour_distance().alias("dc"), SG.space_distance().alias("ds"))
     ws, wc = F.exp(-F.pow("ds", 2) / (2 * sigma_space**2)), F.exp(-F.pow("dc", 2) / (2 * sigma_colour**2))
     g = p.groupBy(F.col("label_a").alias("label")).agg(
         (F.sum(F.pow("dc", 2) * ws) / F.sum(ws)).alias("u"), (F.sum(F.col("x_b") * wc) / F.sum(wc)).alias("mx"), (F.sum(F.col("y_b") * wc) / F.sum(wc)).alias("my"),
         (F.sum((F.pow("x_b", 2) + F.pow("y_b", 2)) * wc) / F.sum(wc)).alias("m2"),
     )
     g = g.withColumn("d", F.col("m2") - F.pow("mx", 2) - F.pow("my", 2))
-    return g.select("label", (SG._unit("u") * F.exp(-k * SG._unit("d"))).alias("saliency"))
+    return SG.scaled(g.select("label", "u", "d"), "u", "d").select("label", (F.col("u") * F.exp(-k * F.col("d"))).alias("saliency"))
 
 
 def saliency_knn(edges: DataFrame, k: int) -> DataFrame:
@@ -189,12 +189,18 @@ def convolved_model(pixels: DataFrame, shape: tuple[int, int], kernel: np.ndarra
     p = p.groupBy("source_id", "ix", "iy").agg(F.sum("w").alias("w"))
     run = F.sum("w").over(Window.partitionBy("source_id").orderBy(F.desc("w"), "ix", "iy")) - F.col("w")
     p = written(p.withColumn("before", run).withColumn("total", F.sum("w").over(Window.partitionBy("source_id"))).where(F.col("before") < fraction * F.col("total")).select("source_id", "ix", "iy", "w"), "convolved")
-    # Sources are labelled apart from one another by giving each a band of its own.
-    rank = p.select("source_id").distinct().withColumn("band", F.dense_rank().over(Window.orderBy("source_id")) - 1)
-    q = p.join(F.broadcast(rank), "source_id").withColumn("by", F.col("iy") + F.col("band") * (shape[1] + 1))
-    lab = D.label_mask(q.select("ix", F.col("by").alias("iy")), (shape[0], (shape[1] + 1) * max(1, rank.count())))
-    q = q.join(lab.select("ix", F.col("iy").alias("by"), "component"), ["ix", "by"])
-    best = largest_component(q.select(F.col("source_id").alias("true_id"), F.col("component").alias("source_id"), "ix", "iy", "w"), "true_id").select(F.col("true_id").alias("source_id"), "ix", "iy", "w")
+
+    def largest(pdf):
+        # Of equal parts the one whose first pixel, x outer and y inner, is last.
+        x, y = pdf["ix"].to_numpy() - pdf["ix"].min(), pdf["iy"].to_numpy() - pdf["iy"].min()
+        mask = np.zeros((y.max() + 1, x.max() + 1), bool)
+        mask[y, x] = True
+        part = D._runs(mask, False)[y, x]
+        place, sizes = x * len(mask) + y, np.bincount(part)
+        best = max(np.unique(part), key=lambda k: (sizes[k], place[part == k].min()))
+        return pdf[part == best]
+
+    best = p.groupBy("source_id").applyInPandas(largest, p.schema)
     from .catalog import adjacent
 
     return merge_pixels(best, adjacent(best, best), sum_shared=True)

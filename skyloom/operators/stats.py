@@ -322,8 +322,7 @@ def pagerank(edges: DataFrame, d: float = 0.85, tol: float = 1e-4, rounds: int =
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(n**-0.5))
     for _ in range(rounds):
-        total = F.sum("rank").over(Window.partitionBy())
-        base = rank.withColumn("tele", (1 - d) / n * total)
+        base = rank.crossJoin(F.broadcast(rank.agg(((1 - d) / n * F.sum("rank")).alias("tele"))))
         flow = edges.join(rank, edges.src == rank.id).groupBy("dst").agg(F.sum(F.col("weight") * F.col("rank")).alias("f"))
         new = base.join(flow, base.id == flow.dst, "left").select("id", F.col("rank").alias("old"), (F.coalesce(F.col("f"), F.lit(0.0)) * d + F.col("tele")).alias("r"))
         norm = new.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))

@@ -15,7 +15,7 @@ from ..operators import stats as S
 from ..operators import stencil as ST
 from ..sources.image import embedding_image, table
 from .graph_queries import _PAIRS, _REG, regions
-from .image_queries import _J7, _BOXES, PAIR, TRUE, ZMAP, blobs, image, labelled, pair
+from .image_queries import _J7, _BOXES, PAIR, TRUE, ZMAP, blobs, comp_sql, image, labelled, pair
 from .registry import query
 from .stats_queries import GLOBAL, IMG, R, out, r, rs
 
@@ -185,7 +185,20 @@ def d47(spark, d):
     return X.on_contour(p, px.where("w > 0.3").select(F.col("ix").alias("x"), F.col("iy").alias("y")), 2).select("id", F.col("on").alias("near"))
 
 
-@query("d49_convolved_model")
+_BEAM = ST.beam_kernel(4.0, 3.0, 0.0, 2)
+_SEEN = f"""{ZMAP}, {comp_sql("t", 2.5, 1.5, 3)}, beam(dx, dy, k) AS (VALUES {", ".join(f"({i - _BEAM.shape[1] // 2}, {j - _BEAM.shape[0] // 2}, {float(_BEAM[j, i])!r}::DOUBLE)" for j in range(_BEAM.shape[0]) for i in range(_BEAM.shape[1]) if _BEAM[j, i])}),
+spread AS (SELECT source_id, ix + dx AS ix, iy + dy AS iy, sum(w * k) AS w FROM blobst, beam WHERE ix + dx BETWEEN 0 AND 63 AND iy + dy BETWEEN 0 AND (SELECT count(*) FROM embeddings) - 1 GROUP BY 1, 2, 3),
+bright AS (SELECT source_id, ix, iy, w, ix * 1000000 + iy AS id FROM spread QUALIFY sum(w) OVER (PARTITION BY source_id ORDER BY w DESC, ix, iy ROWS UNBOUNDED PRECEDING) - w < 0.95 * sum(w) OVER (PARTITION BY source_id)),
+step AS (SELECT a.source_id, a.id AS a, b.id AS b FROM bright a, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) JOIN bright b ON b.source_id = a.source_id AND b.ix = a.ix + dx AND b.iy = a.iy + dy),
+walk AS (SELECT source_id, id, id AS root FROM bright UNION SELECT walk.source_id, step.b, walk.root FROM walk JOIN step ON step.source_id = walk.source_id AND step.a = walk.id),
+part AS (SELECT source_id, id, min(root) AS part FROM walk GROUP BY 1, 2), chosen AS (SELECT source_id, part FROM part GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, part DESC) = 1),
+best AS (SELECT bright.* FROM bright JOIN part USING (source_id, id) JOIN chosen USING (source_id, part)),
+near AS (SELECT DISTINCT a.source_id AS a, b.source_id AS b FROM best a, range(-1, 2) x(dx), range(-1, 2) y(dy) JOIN best b ON b.ix = a.ix + dx AND b.iy = a.iy + dy WHERE a.source_id <> b.source_id),
+group_walk AS (SELECT a AS id, a AS root FROM near UNION SELECT near.b, group_walk.root FROM group_walk JOIN near ON near.a = group_walk.id), groups AS (SELECT id, min(root) AS root FROM group_walk GROUP BY id)
+SELECT coalesce(root, source_id) AS source_id, ix, iy, {r("sum(w)")} AS w FROM best LEFT JOIN groups ON groups.id = source_id GROUP BY 1, 2, 3"""
+
+
+@query("d49_convolved_model", _SEEN)
 def d49(spark, d):
     b, s = blobs(spark, d, 2.5, 1.5, 3)
     return out(X.convolved_model(b.select("source_id", "ix", "iy", "w"), s, ST.beam_kernel(4.0, 3.0, 0.0, 2)), "source_id", "ix", "iy", w="w")
