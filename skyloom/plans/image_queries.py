@@ -602,7 +602,7 @@ def d34(spark, d):
     p = z.where("z >= 1.5").withColumn("tile_id", F.floor(F.col("iy") / 100) * 2 + F.floor(F.col("ix") / 32))
     # Each tile on its own: pixels of a tile are set apart from the others by a gap, then labelled.
     gap = p.select((F.col("ix") + F.floor(F.col("ix") / 32)).alias("ix"), (F.col("iy") + F.floor(F.col("iy") / 100)).alias("iy"), F.col("ix").alias("x"), F.col("iy").alias("y"), "tile_id", "w")
-    lab = D.label_mask(gap.select("ix", "iy"), (s[0] + 2, s[1] + 100)).join(gap, ["ix", "iy"]).select("tile_id", F.col("component").alias("source_id"), F.col("x").alias("ix"), F.col("y").alias("iy"), "w")
+    lab = D.label_mask(gap.select("ix", "iy"), (s[0] + s[0] // 32, s[1] + s[1] // 100)).join(gap, ["ix", "iy"]).select("tile_id", F.col("component").alias("source_id"), F.col("x").alias("ix"), F.col("y").alias("iy"), "w")
     from ..operators.graph import components
 
     near = K.adjacent(lab, lab)
