@@ -45,9 +45,10 @@ def image_stats(w="w") -> list[Column]:
     """n, min, max, mean, its error, rms (n - 1), its error, skewness and kurtosis with errors."""
     c = F.col(w) if isinstance(w, str) else w
     n = F.count(c)
+    m = n.cast("double")  # products of counts don't fit a long
     return [
         n.alias("n"), F.min(c).alias("w_min"), F.max(c).alias("w_max"), F.avg(c).alias("mean"), (F.stddev_samp(c) / F.sqrt(n)).alias("mean_err"), F.stddev_samp(c).alias("rms"),
-        (F.stddev_samp(c) / F.sqrt(2 * (n - 1))).alias("rms_err"), F.skewness(c).alias("skewness"), F.sqrt(6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))).alias("skewness_err"), F.kurtosis(c).alias("kurtosis"),
+        (F.stddev_samp(c) / F.sqrt(2 * (n - 1))).alias("rms_err"), F.skewness(c).alias("skewness"), F.sqrt(6 * m * (m - 1) / ((m - 2) * (m + 1) * (m + 3))).alias("skewness_err"), F.kurtosis(c).alias("kurtosis"),
     ]
 
 

@@ -1,5 +1,6 @@
 import random
 
+from skyloom.operators import stats as S
 from skyloom.plans import extended_queries as E
 from skyloom.plans import image_queries as I
 
@@ -18,3 +19,10 @@ def test_labels_of_tiles_stay_apart_in_a_tall_image(spark, tmp_path):
     rows = [(j, [5.0 if (i, j) in bright else float((i + j) % 2) for i in range(2)]) for j in range(10300)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert I.d34(spark, str(tmp_path)).collect() == [(2, 2, 1)]
+
+
+def test_image_stats_of_millions_of_pixels(spark):
+    """The cube of the count doesn't fit a long."""
+    n = 3_000_000
+    r = spark.range(n).selectExpr("id % 7D AS w").agg(*S.image_stats()).collect()[0]
+    assert r.n == n and abs(r.skewness_err - (6 * n * (n - 1) / ((n - 2) * (n + 1) * (n + 3))) ** 0.5) < 1e-12
