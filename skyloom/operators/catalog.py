@@ -25,9 +25,12 @@ def _renamed(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c.startswith("_c") else f"{c}_{suffix}") for c in df.columns])
 
 
-def overlapping(a: DataFrame, b: DataFrame, margin: int = 0, cell: int = CELL) -> DataFrame:
-    """Pairs of boxes (columns _a and _b) that overlap, or come within a margin."""
-    j = _renamed(_celled(a, cell, margin), "a").join(_renamed(_celled(b, cell), "b"), ["_cx", "_cy"])
+def overlapping(a: DataFrame, b: DataFrame, margin: int = 0, cell: float = CELL, tasks: int | None = None) -> DataFrame:
+    """Pairs of boxes (columns _a and _b) that overlap, or come within a margin; tasks: that many, however few the boxes."""
+    left, right = _renamed(_celled(a, cell, margin), "a"), _renamed(_celled(b, cell), "b")
+    if tasks:
+        left, right = left.repartition(tasks, "_cx", "_cy"), right.repartition(tasks, "_cx", "_cy").hint("shuffle_hash")
+    j = left.join(right, ["_cx", "_cy"])
     meet = (F.col("x0_a") - margin <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a") + margin) & (F.col("y0_a") - margin <= F.col("y1_b")) & (F.col("y0_b") <= F.col("y1_a") + margin)
     # A pair is taken in the first cell that both have.
     first = (F.col("_cx") == F.greatest(F.floor((F.col("x0_a") - margin) / cell), F.floor(F.col("x0_b") / cell))) & (F.col("_cy") == F.greatest(F.floor((F.col("y0_a") - margin) / cell), F.floor(F.col("y0_b") / cell)))
