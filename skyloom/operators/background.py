@@ -11,8 +11,11 @@ ESTIMATORS = ("mean", "median", "biweight", "clipped")
 LEAST_PIXELS = 10
 
 
-def sample_background(px: DataFrame, keys: list[str], estimator: str = "median", w: str = "w") -> DataFrame:
-    """(keys, n, bkg, rms, reliable) of each group of pixels; unreliable with under 10 pixels or a value that is 0 or not finite."""
+def sample_background(px: DataFrame, keys: list[str], estimator: str = "median", w: str = "w", zero: bool = False) -> DataFrame:
+    """(keys, n, bkg, rms, reliable) of each group of pixels; unreliable with under 10 pixels or a value that is 0 or not finite.
+
+    zero: a background of 0 is as good as any other, as it is in a residual.
+    """
     if estimator == "mean":
         s = px.groupBy(*keys).agg(F.count(w).alias("n"), F.avg(w).alias("bkg"), F.stddev_samp(w).alias("rms"))
     elif estimator == "median":
@@ -23,7 +26,7 @@ def sample_background(px: DataFrame, keys: list[str], estimator: str = "median",
         s = S.clipped_tiles(px, keys, w, 3.0, 100, 0.1).withColumnRenamed("median", "bkg")
     else:
         raise ValueError(f"unknown estimator {estimator!r}: {', '.join(ESTIMATORS)}")
-    good = (F.col("n") >= LEAST_PIXELS) & (F.col("bkg") != 0) & ~F.isnan("bkg") & ~F.isnan("rms") & (F.abs("bkg") < float("inf"))
+    good = (F.col("n") >= LEAST_PIXELS) & ((F.col("bkg") != 0) | F.lit(zero)) & ~F.isnan("bkg") & ~F.isnan("rms") & (F.abs("bkg") < float("inf"))
     return s.select(*keys, "n", "bkg", "rms", F.coalesce(good, F.lit(False)).alias("reliable"))
 
 
@@ -49,7 +52,7 @@ def grid_centres(n: int, box: int, grid: int) -> list[int]:
     return out or [n // 2]
 
 
-def grid_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid: tuple[int, int], estimator: str = "median") -> DataFrame:
+def grid_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid: tuple[int, int], estimator: str = "median", zero: bool = False) -> DataFrame:
     """(i, j, cx, cy, n, bkg, rms, reliable): samples at grid nodes, failed ones replaced.
 
     A pixel goes to the few boxes it lies in, found by arithmetic on its index (boxes are centre - box / 2 .. + box - 1).
@@ -63,7 +66,7 @@ def grid_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid:
     cols = spark.createDataFrame([(x, k) for k, c in enumerate(grid_centres(nx, box[0], grid[0])) for x in range(max(0, c - box[0] // 2), min(nx, c - box[0] // 2 + box[0]))], "ix long, i long")
     rows = spark.createDataFrame([(y, k) for k, c in enumerate(grid_centres(ny, box[1], grid[1])) for y in range(max(0, c - box[1] // 2), min(ny, c - box[1] // 2 + box[1]))], "iy long, j long")
     # A row of `cols` and `rows` per pixel index and box: of the size of the image's sides.
-    s = sample_background(px.join(F.broadcast(cols), "ix").join(F.broadcast(rows), "iy"), ["i", "j"], estimator)
+    s = sample_background(px.join(F.broadcast(cols), "ix").join(F.broadcast(rows), "iy"), ["i", "j"], estimator, zero=zero)
     nodes = axes[0].select("i", "cx").crossJoin(axes[1].select("j", "cy")).join(s, ["i", "j"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
     for axis, other in (("i", "j"), ("j", "i")):
         w = Window.partitionBy(other).orderBy(axis).rowsBetween(-3, -1)
@@ -111,7 +114,7 @@ def local_background(px: DataFrame, nx: int, ny: int, box: tuple[int, int], grid
     out = bilinear(px, grid_background(px, nx, ny, box, grid, estimator), grid, *ends)
     if second_pass:
         rest = out.select("ix", "iy", (F.col("w") - F.col("bkg")).alias("w"))
-        again = bilinear(rest.select("ix", "iy", "w"), grid_background(rest, nx, ny, box, grid, estimator), grid, *ends)
+        again = bilinear(rest.select("ix", "iy", "w"), grid_background(rest, nx, ny, box, grid, estimator, zero=True), grid, *ends)
         out = out.drop("rms").join(again.select("ix", "iy", "rms"), ["ix", "iy"])
     return out
 
