@@ -18,13 +18,8 @@ from .graph import written
 TILE = 256
 
 
-def tiled_apply(px: DataFrame, reach: int, fn: Callable[..., dict[str, np.ndarray] | np.ndarray], shape: tuple[int, int], border: str = "zero", names: tuple[str, ...] = ("w",), w: tuple[str, ...] = ("w",), tile: int = TILE) -> DataFrame:
-    """(ix, iy, *names): fn of each tile with its margin.
-
-    fn gets a 2-D array [iy, ix] for each column of `w`, of the tile and `reach` more pixels on each side, and returns
-    arrays of the same shape; the margin of the result is thrown away. Pixels absent from the frame are 0 and
-    have no output.
-    """
+def with_margins(px: DataFrame, reach: int, shape: tuple[int, int], tile: int) -> DataFrame:
+    """`px` with tx and ty, the tile: pixels within `reach` of other tiles have a row for each of these as well."""
     nx, ny = shape
     tx, ty = F.floor(F.col("ix") / tile), F.floor(F.col("iy") / tile)
     copies = []
@@ -35,8 +30,18 @@ def tiled_apply(px: DataFrame, reach: int, fn: Callable[..., dict[str, np.ndarra
         copies.append(F.when(near_x & near_y & inside, F.struct((tx + dx).alias("tx"), (ty + dy).alias("ty"))))
     if reach > tile:
         raise ValueError(f"a reach of {reach} needs tiles of at least that size")
-    values = [F.col(c).cast("double").alias(c) for c in w]
-    spread = px.select("ix", "iy", *values, F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("t")).select("t.tx", "t.ty", "ix", "iy", *w)
+    return px.select("*", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())).alias("t")).select("t.tx", "t.ty", *px.columns)
+
+
+def tiled_apply(px: DataFrame, reach: int, fn: Callable[..., dict[str, np.ndarray] | np.ndarray], shape: tuple[int, int], border: str = "zero", names: tuple[str, ...] = ("w",), w: tuple[str, ...] = ("w",), tile: int = TILE) -> DataFrame:
+    """(ix, iy, *names): fn of each tile with its margin.
+
+    fn gets a 2-D array [iy, ix] for each column of `w`, of the tile and `reach` more pixels on each side, and returns
+    arrays of the same shape; the margin of the result is thrown away. Pixels absent from the frame are 0 and
+    have no output.
+    """
+    nx, ny = shape
+    spread = with_margins(px.select("ix", "iy", *[F.col(c).cast("double").alias(c) for c in w]), reach, shape, tile)
 
     def one(pdf):
         import pandas as pd
